@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import audio, language, mixing, packing, substrings, suffixes
+from . import audio, jaccard, language, mixing, packing, substrings, suffixes
 
 QUERIES = {
     "op2_language_id": language.query,
     "op3_audio_features": audio.query,
+    "op4_jaccard_join": jaccard.query,
     "op5_pack": packing.query,
     "op6_suffix_dedup": suffixes.query,
     "op7_substring_dedup": substrings.query,
