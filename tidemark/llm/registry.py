@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, jaccard, language, mixing, packing, substrings, suffixes, vectors, wrappers
+from . import audio, jaccard, language, mixing, ordering, packing, substrings, suffixes, vectors, wrappers
 
 QUERIES = {
     "op1_html_text": wrappers.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_suffix_dedup": suffixes.query,
     "op7_substring_dedup": substrings.query,
     "op8_mix_sources": mixing.query,
+    "op9_training_order": ordering.query,
     "op10_embedding_dedup": vectors.query,
 }
 
