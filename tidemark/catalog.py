@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .functions import scalar
+from .operators import graphs, relational
 from .plans import tpch
+from .sources import files
+from .streaming import events
+
+MODULES = (tpch, relational, scalar, files, events, graphs)
 
 
 def queries() -> dict:
-    return {**tpch.queries()}
+    return {n: q for m in MODULES for n, q in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**tpch.oracle_sql()}
+    return {n: q for m in MODULES for n, q in m.oracle_sql().items()}
