@@ -14,7 +14,9 @@ from .substrings import WordHashes
 
 WORDS = 4
 PERCENT = 85
-GROUPS = 16
+GROUPS = 64
+#: A count that is larger is kept as this and bounds nothing.
+MANY = 65535
 LEAF = 32
 #: Members of a block that are compared in one task; of a larger block each split is compared with itself and PIVOTS.
 SPLIT = 96
@@ -53,7 +55,15 @@ def counts_of(tokens):
     """How many tokens fall in each group: the point that stands for a set. The groups use other bits than the order does."""
     import numpy as np
 
-    return np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    return np.minimum(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), MANY).astype(np.uint16)
+
+
+def points_of(counts: Iterable[bytes]):
+    """Counts as written, as rows of numbers; those that were cut are larger than any."""
+    import numpy as np
+
+    points = np.frombuffer(b"".join(counts), np.uint16).reshape(-1, GROUPS)
+    return np.where(points == MANY, 1 << 30, points.astype(np.int32)) if (points == MANY).any() else points
 
 
 class CountTree:
@@ -80,14 +90,14 @@ class CountTree:
         order, n = self.order, len(self.order)
         for leaf, a in enumerate(self.begin):
             z = min(a + LEAF, n)
-            bound = np.minimum(self.top[leaf], self.top[leaf:]).sum(axis=1)
+            bound = np.minimum(self.top[leaf], self.top[leaf:]).sum(axis=1, dtype=np.int64)
             open_ = np.flatnonzero((100 + percent) * bound >= percent * (self.low[leaf] + self.low[leaf:])) + leaf
             for some in range(0, len(open_), 64):
                 js = np.concatenate([np.arange(self.begin[x], min(self.begin[x] + LEAF, n)) for x in open_[some : some + 64]])
                 own = labels[order[a:z]]
                 if (labels[order[js]] == own[0]).all() and (own == own[0]).all():
                     continue
-                over = np.minimum(self.points[a:z, None], self.points[None, js]).sum(axis=2)
+                over = np.minimum(self.points[a:z, None], self.points[None, js]).sum(axis=2, dtype=np.int64)
                 may = ((100 + percent) * over >= percent * (self.sizes[a:z, None] + self.sizes[None, js])) & (js[None] > np.arange(a, z)[:, None])
                 for row in np.flatnonzero(may.any(axis=1)):
                     i = order[a + row]
@@ -179,7 +189,7 @@ def candidates(percent: int) -> Callable:
             if len(same) < 2 or not home.any():
                 continue
             n = cell.column("n").to_numpy()[at]
-            points = np.frombuffer(b"".join(cell.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)[at]
+            points = points_of(cell.column("counts").to_pylist())[at]
             if links := forest(points, n, percent):
                 a, b = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(same[a]), pa.array(same[b])], ["a", "b"])
@@ -213,7 +223,7 @@ def links_in(percent: int, every: bool) -> Callable:
                 place = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 return (100 + percent) * int((b[place] == a).sum()) >= percent * (len(a) + len(b))
 
-            if links := forest(np.array([counts_of(x) for x in tokens]), sizes, percent, verify):
+            if links := forest(points_of(counts_of(x).tobytes() for x in tokens), sizes, percent, verify):
                 a, b = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
@@ -241,7 +251,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     found = written(sets(plain, k, percent), "sets")
     full = found.where("prefix IS NOT NULL AND n > 0")
     each = full.select("same", "n", F.explode("prefix").alias("token"))
-    shared = each.groupBy("token").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y").select("token")
+    # tokens of two different sets at least; of just two rows, the sizes must be near as well
+    shared = each.groupBy("token").agg(F.min("same").alias("x"), F.max("same").alias("y"), F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = shared.where((F.col("x") != F.col("y")) & ((F.col("c") > 2) | (100 * F.col("low") >= percent * F.col("high")))).select("token")
     # sizes in bands that grow by 1 / 0.85: similar sets are in the same band or the next
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     cells = each.join(shared, "token").join(full.groupBy("same").agg(F.first("counts").alias("counts")), "same")
