@@ -14,9 +14,11 @@ from .substrings import WordHashes
 
 WORDS = 4
 PERCENT = 85
+#: Groups of the smallest sets; larger sets have more, so that a group holds DENSE tokens at most on average.
 GROUPS = 64
+DENSE = 12
 #: A count that is larger is kept as this and bounds nothing.
-MANY = 65535
+MANY = 255
 LEAF = 32
 #: Members of a block that are compared in one task; of a larger block each split is compared with itself and PIVOTS.
 SPLIT = 96
@@ -55,15 +57,22 @@ def counts_of(tokens):
     """How many tokens fall in each group: the point that stands for a set. The groups use other bits than the order does."""
     import numpy as np
 
-    return np.minimum(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), MANY).astype(np.uint16)
+    n = max(GROUPS, 1 << max(0, (len(tokens) - 1) // DENSE).bit_length())
+    return np.minimum(np.bincount((tokens & np.uint64(n - 1)).astype(np.int64), minlength=n), MANY).astype(np.uint8)
 
 
-def points_of(counts: Iterable[bytes]):
-    """Counts as written, as rows of numbers; those that were cut are larger than any."""
+def points_of(counts: list[bytes]):
+    """Counts as written, as rows of numbers. Points with more groups than the fewest have them folded together."""
     import numpy as np
 
-    points = np.frombuffer(b"".join(counts), np.uint16).reshape(-1, GROUPS)
-    return np.where(points == MANY, 1 << 30, points.astype(np.int32)) if (points == MANY).any() else points
+    length = np.array([len(x) for x in counts])
+    least = length.min()
+    out = np.empty((len(counts), least), np.int32)
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        points = np.frombuffer(b"".join(counts[i] for i in at), np.uint8).reshape(len(at), n // least, least)
+        out[at] = np.where(points == MANY, 1 << 20, points).sum(axis=1)
+    return out
 
 
 class CountTree:
@@ -92,8 +101,9 @@ class CountTree:
             z = min(a + LEAF, n)
             bound = np.minimum(self.top[leaf], self.top[leaf:]).sum(axis=1, dtype=np.int64)
             open_ = np.flatnonzero((100 + percent) * bound >= percent * (self.low[leaf] + self.low[leaf:])) + leaf
-            for some in range(0, len(open_), 64):
-                js = np.concatenate([np.arange(self.begin[x], min(self.begin[x] + LEAF, n)) for x in open_[some : some + 64]])
+            step = max(1, 4096 // self.points.shape[1])
+            for some in range(0, len(open_), step):
+                js = np.concatenate([np.arange(self.begin[x], min(self.begin[x] + LEAF, n)) for x in open_[some : some + step]])
                 own = labels[order[a:z]]
                 if (labels[order[js]] == own[0]).all() and (own == own[0]).all():
                     continue
@@ -181,18 +191,41 @@ def candidates(percent: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for cell in grouped(batches, 2):
-            if len(cell) < 2:
-                continue
-            same, at = np.unique(cell.column("same").to_numpy(), return_index=True)
-            home = cell.column("home").to_numpy(zero_copy_only=False)
-            if len(same) < 2 or not home.any():
+        tested: set[tuple[int, int]] = set()
+
+        def cells(batch: pa.RecordBatch, edges) -> pa.RecordBatch:
+            same, n, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("same", "n", "home"))
+            counts, out = batch.column("counts"), []
+            for a, z in edges:
+                if z - a == 2:
+                    x, y = int(same[a]), int(same[a + 1])
+                    if x == y or not (home[a] or home[a + 1]) or 100 * min(n[a], n[a + 1]) < percent * max(n[a], n[a + 1]) or (x, y) in tested:
+                        continue
+                    if len(tested) > 500_000:
+                        tested.clear()
+                    tested.update(((x, y), (y, x)))
+                    points = points_of([counts[a].as_py(), counts[a + 1].as_py()])
+                    if (100 + percent) * int(points.min(axis=0).sum()) >= percent * int(n[a] + n[a + 1]):
+                        out.append((x, y))
+                elif z - a > 2:
+                    own, at = np.unique(same[a:z], return_index=True)
+                    if len(own) > 1 and home[a:z].any():
+                        at += a
+                        out += [(int(own[i]), int(own[j])) for i, j in forest(points_of([counts[i].as_py() for i in at]), n[at], percent)]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            n = cell.column("n").to_numpy()[at]
-            points = points_of(cell.column("counts").to_pylist())[at]
-            if links := forest(points, n, percent):
-                a, b = np.array(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(same[a]), pa.array(same[b])], ["a", "b"])
+            batch = pa.concat_batches([held, batch]) if held is not None else batch
+            token, band = batch.column("token").to_numpy(), batch.column("band").to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(band) != 0)) + 1])
+            if len(edge) > 1:
+                yield cells(batch, zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+            held = batch.slice(edge[-1])  # the last cell may go on
+        if held is not None:
+            yield cells(held, [(0, held.num_rows)])
 
     return run
 
@@ -223,7 +256,7 @@ def links_in(percent: int, every: bool) -> Callable:
                 place = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 return (100 + percent) * int((b[place] == a).sum()) >= percent * (len(a) + len(b))
 
-            if links := forest(points_of(counts_of(x).tobytes() for x in tokens), sizes, percent, verify):
+            if links := forest(points_of([counts_of(x).tobytes() for x in tokens]), sizes, percent, verify):
                 a, b = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
