@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: The model is fitted on about so many labelled documents of each language, drawn by a hash of the id.
-SAMPLE = 1500
+SAMPLE = 400
 LONGEST = 4
 SEEN = 3
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,14 +51,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found = kept.toArrow()
     import numpy as np
 
-    counts = np.array([np.nan_to_num(found.column(x).to_numpy(zero_copy_only=False).astype(float)) for x in langs]).T
+    counts = np.array([np.nan_to_num(found.column(x).to_numpy(zero_copy_only=False).astype(np.float32)) for x in langs]).T.reshape(-1, len(langs))
     ks, grams = found.column("k").to_numpy(), found.column("gram").to_pylist()
-    model = {"langs": langs, "levels": {}}
+    del found
+    model = {"langs": langs, "levels": {}, "logs": np.zeros(counts.shape, np.float32)}
     for k in levels:
         here = np.flatnonzero(ks == k)
-        c = counts[here].reshape(len(here), len(langs))
-        logs = np.log(c + 0.5) - np.log(c.sum(axis=0) + 0.5 * max(1, len(here)))
-        model["levels"][k] = {grams[i]: tuple(logs[j]) for j, i in enumerate(here)}
+        c = counts[here]
+        model["logs"][here] = np.log(c + 0.5) - np.log(c.sum(axis=0) + 0.5 * max(1, len(here)))
+        model["levels"][k] = {grams[i]: i for i in here.tolist()}
     return model
 
 
@@ -69,14 +70,14 @@ class Scorer:
         self.model, self.most, self.cache = model, most, {}
 
     def vector(self, word: str) -> tuple:
-        levels = self.model["levels"]
-        if found := levels[0].get(word):
-            return found
+        levels, logs = self.model["levels"], self.model["logs"]
+        if (found := levels[0].get(word)) is not None:
+            return tuple(logs[found].tolist())
         padded = f" {word} "
         for k in range(LONGEST, 0, -1):
-            known = [v for i in range(len(padded) - k + 1) if (v := levels[k].get(padded[i : i + k]))]
+            known = [v for i in range(len(padded) - k + 1) if (v := levels[k].get(padded[i : i + k])) is not None]
             if known:
-                return tuple(sum(x) / len(known) for x in zip(*known, strict=True))
+                return tuple(logs[known].mean(axis=0).tolist())
         return (0.0,) * len(self.model["langs"])
 
     def of(self, text: str | None) -> tuple[str, float]:
