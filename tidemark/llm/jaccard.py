@@ -39,7 +39,7 @@ def shingle_sets(k: int) -> Callable:
 
     def of(text: str):
         words = text.encode().translate(lower).split()
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         units = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if not len(units):
@@ -201,7 +201,7 @@ def candidates(percent: int) -> Callable:
                     x, y = int(same[a]), int(same[a + 1])
                     if x == y or not (home[a] or home[a + 1]) or 100 * min(n[a], n[a + 1]) < percent * max(n[a], n[a + 1]) or (x, y) in tested:
                         continue
-                    if len(tested) > 500_000:
+                    if len(tested) > 200_000:
                         tested.clear()
                     tested.update(((x, y), (y, x)))
                     points = points_of([counts[a].as_py(), counts[a + 1].as_py()])

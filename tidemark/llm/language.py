@@ -66,7 +66,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class Scorer:
     """Scores texts by a model. A word's vector is kept for its next occurrence, up to a number of words."""
 
-    def __init__(self, model: dict, most: int = 300_000):
+    def __init__(self, model: dict, most: int = 100_000):
         self.model, self.most, self.cache = model, most, {}
 
     def vector(self, word: str) -> tuple:

@@ -34,7 +34,7 @@ def word_units() -> Callable:
 
     def of(text: str):
         words = text.encode().split()
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
