@@ -24,7 +24,7 @@ class WordIds:
     chunks are not kept, and the lookup table starts anew when it is full.
     """
 
-    def __init__(self, path: str, most: int = 150_000, longest: int = 40):
+    def __init__(self, path: str, most: int = 200_000, longest: int = 9):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most, self.longest = Tokenizer.from_file(path), {}, most, longest
@@ -49,8 +49,12 @@ class WordIds:
         for i in range(0, len(new), 4096):  # without offsets, which nobody reads
             some = new[i : i + 4096]
             here.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        known.update((x, ids) for x, ids in here.items() if len(x) <= self.longest)
-        return b"".join([here[x] if x in here else known[x] for x in chunks])
+        known.update(here)
+        out = b"".join([known[x] for x in chunks])
+        for x in here:
+            if len(x) > self.longest:
+                del known[x]
+        return out
 
 
 def tokenizer_path() -> str:
