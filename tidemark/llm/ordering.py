@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parts, shared_dir, table, written
-from .packing import END_ID, WordIds, tokenizer_path
+from .packing import END_ID, tokenizer_path, word_ids
 
 #: Ids of a sequence, each two bytes, and the id that fills up a document's last one.
 LENGTH = 512
@@ -51,7 +51,7 @@ def counted(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(id, key, text) to (id, key, n): the document's number of sequences."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             n = [-(-(len(words.of(t.as_py())) // 4 + 1) // LENGTH) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "n"])
@@ -86,7 +86,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, end = WordIds(path), end_id.to_bytes(4, "little")
+        words, end = word_ids(path), end_id.to_bytes(4, "little")
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,44 +20,81 @@ SALTS = 256
 PIECE = "id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
+#: Letters as they are after lower-casing, in texts of no characters but these two blocks; normalising leaves those texts as they are.
+LETTER = "a-zªµºß-öø-ſ"
+OTHERS = re.compile("[^\x00-įı-ſ]")
+RUN = re.compile(f"[{LETTER}]+|[^{LETTER}]+")
+WORD = re.compile(f"[{LETTER}]+")
+#: Characters of a text that are turned into ids at once.
+BLOCK = 1 << 20
+
+
+class Known(dict):
+    """Ids of strings that came up; a table that is full starts anew, and long strings are not kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int = 24):
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, x: str) -> bytes:
+        found = self.make(x)
+        if len(x) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[x] = found
+        return found
+
+
 class WordIds:
-    """Token ids of texts as little-endian 32-bit bytes, from a vocabulary whose tokens never span a space.
+    """Token ids of texts as little-endian 32-bit bytes, from a vocabulary of lower-cased words whose tokens never span a space.
 
-    A chunk between spaces always has the same ids, so each is given to the tokenizer once and then looked up; long
-    chunks are not kept, and the lookup table starts anew when it is full.
+    What stands between spaces always has the same ids. So has a run of letters, and a run of other characters, unless
+    an apostrophe comes between them. Each is given to the tokenizer once and then looked up.
     """
 
-    def __init__(self, path: str, most: int = 200_000, longest: int = 9):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 250_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known, self.most, self.longest = Tokenizer.from_file(path), {}, most, longest
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the letters of LETTER, as the vocabulary writes their bytes
+        letters = [c for c in map(chr, range(0x180)) if WORD.fullmatch(c)]
+        self.written = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters if not c.isascii()})
+        self.words, self.others, self.latin = Known(self.word, most), Known(self.whole, most), Known(self.chunk, most)
 
-    def of(self, text: str | None) -> bytes:
-        import numpy as np
+    def word(self, run: str) -> bytes:
+        """Ids of a run of letters, past the steps that would find it to be one."""
+        ids = [x.id for x in self.model.tokenize(run if run.isascii() else run.translate(self.written))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-        # An added token's string is matched in the raw text, which splitting could hide.
+    def whole(self, text: str) -> bytes:
+        """Ids of any text; without offsets, which nobody reads."""
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def chunk(self, text: str) -> bytes:
+        """Ids of lower-cased Latin letters and others between spaces."""
+        return self.word(text) if WORD.fullmatch(text) else b"".join([self.words[x] if WORD.match(x) else self.others[x] for x in RUN.findall(text)])
+
+    def of(self, text: str | None) -> bytes:
         if not text:
             return b""
+        # An added token's string is matched in the raw text, which splitting could hide.
         if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known, chunks = self.known, text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([known[x] for x in chunks])
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        new = list({x for x in chunks if x not in known})
-        here = {}
-        for i in range(0, len(new), 4096):  # without offsets, which nobody reads
-            some = new[i : i + 4096]
-            here.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        known.update(here)
-        out = b"".join([known[x] for x in chunks])
-        for x in here:
-            if len(x) > self.longest:
-                del known[x]
-        return out
+            return self.whole(text)
+        latin, out, start = "'" not in text and not OTHERS.search(text), [], 0
+        while start < len(text):
+            end = text.find(" ", start + BLOCK)
+            end = len(text) if end < 0 else end
+            part = text[start:end].replace("\n", " ")
+            out.append(b"".join(map(self.latin.__getitem__, part.lower().split(" ")) if latin else map(self.others.__getitem__, part.split(" "))))
+            start = end
+        return b"".join(out)
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(path)
 
 
 def tokenizer_path() -> str:
@@ -67,7 +107,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
     """Every document's ids and the end id, cut after each capacity ids: PIECE rows."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(path), end_id.to_bytes(4, "little")
+        words, end = word_ids(path), end_id.to_bytes(4, "little")
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
