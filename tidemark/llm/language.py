@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +56,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = np.array([np.nan_to_num(found.column(x).to_numpy(zero_copy_only=False).astype(np.float32)) for x in langs]).T.reshape(-1, len(langs))
     ks, grams = found.column("k").to_numpy(), found.column("gram").to_pylist()
     del found
-    model = {"langs": langs, "levels": {}, "logs": np.zeros(counts.shape, np.float32)}
+    model = {"langs": langs, "levels": {}, "logs": np.zeros((len(counts) + 1, len(langs)), np.float32)}
     for k in levels:
         here = np.flatnonzero(ks == k)
         c = counts[here]
@@ -67,36 +69,52 @@ class Scorer:
     """Scores texts by a model. A word's vector is kept for its next occurrence, up to a number of words."""
 
     def __init__(self, model: dict, most: int = 100_000):
-        self.model, self.most, self.cache = model, most, {}
+        import numpy as np
+
+        self.model, self.at = model, {}
+        self.vectors = np.zeros((most if model["langs"] else 0, len(model["langs"])), np.float32)
 
-    def vector(self, word: str) -> tuple:
-        levels, logs = self.model["levels"], self.model["logs"]
+    def grams(self, word: str) -> list[int]:
+        """Rows of the model that speak for a word: its own, or those of its longest known n-grams, or the last one, which is zero."""
+        levels = self.model["levels"]
         if (found := levels[0].get(word)) is not None:
-            return tuple(logs[found].tolist())
+            return [found]
         padded = f" {word} "
         for k in range(LONGEST, 0, -1):
-            known = [v for i in range(len(padded) - k + 1) if (v := levels[k].get(padded[i : i + k])) is not None]
-            if known:
-                return tuple(logs[known].mean(axis=0).tolist())
-        return (0.0,) * len(self.model["langs"])
+            level = levels[k]
+            if known := [level[x] for i in range(len(padded) - k + 1) if (x := padded[i : i + k]) in level]:
+                return known
+        return [-1]
+
+    def learn(self, words: list[str]) -> None:
+        import numpy as np
+
+        rows = [self.grams(w) for w in words]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        logs = self.model["logs"][np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))]
+        first = len(self.at)
+        self.vectors[first : first + len(words)] = np.add.reduceat(logs, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        self.at.update(zip(words, range(first, first + len(words)), strict=True))
 
     def of(self, text: str | None) -> tuple[str, float]:
         import numpy as np
 
-        words = LETTERS.findall(text.lower()) if text else []
-        langs, cache = self.model["langs"], self.cache
-        if not words or not langs:
+        langs, at = self.model["langs"], self.at
+        counts = Counter(LETTERS.findall(text.lower())) if text else None
+        if not counts or not langs:
             return "und", 0.0
-        if len(cache) > self.most:
-            cache.clear()
-        counts: dict[str, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        total = np.zeros(len(langs))
-        rows = [cache[w] if w in cache else cache.setdefault(w, self.vector(w)) for w in counts]
-        total = np.fromiter(counts.values(), float, len(counts)) @ np.array(rows)
+        new = [w for w in counts if w not in at]
+        if len(at) + len(new) > len(self.vectors):
+            at.clear()
+            new = list(counts)
+            if len(new) > len(self.vectors):
+                self.vectors = np.zeros((len(new), len(langs)), np.float32)
+        if new:
+            self.learn(new)
+        own = self.vectors[np.fromiter(map(at.__getitem__, counts), np.int64, len(counts))]
+        n = np.fromiter(counts.values(), float, len(counts))
         # a few dozen words' worth of evidence at most, so that the score stays informative
-        each = total / len(words) * min(len(words), 24)
+        each = n @ own / n.sum() * min(n.sum(), 24)
         each = np.exp(each - each.max())
         best = int(np.argmax(each))
         score = float(each[best] / each.sum())
