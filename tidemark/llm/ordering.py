@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -22,7 +23,8 @@ STRIDE = 2 * LENGTH + 1
 SHARD = 8192
 ROUNDS = 6
 SALTS = 256
-SEQUENCE = "id long, start long, length int, ids_crc32 long, slot long, record binary"
+INDEX = "id long, start long, length int, ids_crc32 long, slot long"
+RECORD = "slot long, record binary"
 
 
 def permute(index, n: int, key: int):
@@ -47,70 +49,93 @@ def permute(index, n: int, key: int):
     return out.astype(np.int64)
 
 
-def counted(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, key, text) to (id, key, n): the document's number of sequences."""
+def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(id, text) to (id, tokens, n, ids, digest, crcs): a document's ids and the end id, two bytes each, and its n sequences' sums."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        import numpy as np
+
+        words, end = word_ids(path), end_id.to_bytes(4, "little")
+        schema = pa.schema([("id", pa.int64()), ("tokens", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("digest", pa.binary()), ("crcs", pa.list_(pa.int64()))])
         for batch in batches:
-            n = [-(-(len(words.of(t.as_py())) // 4 + 1) // LENGTH) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "n"])
+            rows, held = [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(words.of(text.as_py()) + end, "<u4").astype("<u2").tobytes()
+                crcs = [zlib.crc32(ids[i : i + 2 * LENGTH]) for i in range(0, len(ids), 2 * LENGTH)]
+                rows.append((doc, len(ids) // 2, len(crcs), ids, hashlib.blake2b(ids, digest_size=16).digest(), crcs))
+                held += len(ids)
+                if held > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long")
+    return docs.select("id", "text").mapInArrow(run, "id long, tokens long, n long, ids binary, digest binary, crcs array<long>")
 
 
 def first_indexes(rows: DataFrame) -> DataFrame:
-    """(id, n) to (id, base): the numbers before each document's sequences. Prefix sums run in SALTS parts; equal ids share one row."""
+    """(id, n, copies) to (id, base, copies): the numbers before each document's sequences. Prefix sums run in SALTS parts; equal ids share one row."""
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = rows.groupBy("salt").agg(F.sum("n").alias("n")).select("salt", before.alias("far"))
     here = F.coalesce(F.sum("n").over(Window.partitionBy("salt").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("near", here).join(F.broadcast(base), "salt").select("id", (F.col("far") + F.col("near")).alias("base"))
+    return rows.withColumn("near", here).join(F.broadcast(base), "salt").select("id", (F.col("far") + F.col("near")).alias("base"), "copies")
 
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, key: int = 1) -> DataFrame:
-    """SEQUENCE rows: every document's ids and the end id in sequences of LENGTH, the last filled up, each with its slot.
+def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, key: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Every document's ids and the end id in sequences of LENGTH, the last filled up, each with its slot: INDEX and RECORD rows.
 
-    A null text is the end id alone. Ids that come up more than once are numbered by their place among their copies,
-    so that every row has slots of its own. An empty table gives no rows.
+    A null text is the end id alone. Rows of the same id have slots of their own, in the order of their ids' digests;
+    rows with equal ids can change places. An empty table gives no rows. Texts are turned into ids once and written.
     """
-    path = path or tokenizer_path()
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = written(counted(own, path, end_id), "counts")
-    # copies of an id take turns: each counts as many sequences as the largest of them, and unused slots do not occur, as
-    # copies are rows of the same document
-    each = n.groupBy("id").agg(F.max("n").alias("most"), F.count("*").alias("copies"))
-    bases = written(first_indexes(each.select("id", (F.col("most") * F.col("copies")).alias("n"))).join(each, "id"), "bases")
-    total = bases.agg(F.sum(F.col("most") * F.col("copies"))).first()[0] or 0
+    rows = written(tokenised(own, path or tokenizer_path(), end_id), "ids")
+    each = rows.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
+    bases = written(first_indexes(each), "bases")
+    repeated = not bases.where("copies > 1").isEmpty()
+    total = rows.agg(F.sum("n")).first()[0] or 0
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, end = word_ids(path), end_id.to_bytes(4, "little")
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-
-            def rows(out=out):
-                out[4][:] = permute(np.array(out[4], np.int64), total, key).tolist() if out[4] else []
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["id", "start", "length", "ids_crc32", "slot", "record"])
-
-            for doc, text, base in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = np.frombuffer(words.of(text.as_py()) + end, "<u4").astype("<u2")
-                for i, start in enumerate(range(0, len(ids), LENGTH)):
-                    part = ids[start : start + LENGTH]
-                    record = part.tobytes() + PAD.to_bytes(2, "little") * (LENGTH - len(part))
-                    for column, x in zip(out, (doc, start, len(part), zlib.crc32(part.tobytes()), base + i, record), strict=True):
-                        column.append(x)
-                if len(out[0]) > 16_000:
-                    yield rows()
-                    for column in out:
-                        column.clear()
-            yield rows()
-
-    placed = own.join(bases.withColumnRenamed("id", "of").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")))
-    turn = F.when(F.col("copies") > 1, F.row_number().over(Window.partitionBy("id").orderBy("text")) - 1).otherwise(F.lit(0)) if not bases.where("copies > 1").isEmpty() else F.lit(0)
-    return placed.select("id", "text", (F.col("base") + F.col("most") * turn).alias("base")).mapInArrow(run, SEQUENCE)
+            base, tokens = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("base", "tokens"))
+            n = -(-tokens // LENGTH)
+            doc = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            length = np.minimum(LENGTH, tokens[doc] - at * LENGTH).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(at * LENGTH), pa.array(length), batch.column("crcs").flatten(), pa.array(permute(base[doc] + at, total, key))], ["id", "start", "length", "ids_crc32", "slot"])
+
+    def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def rows(slots, found):
+            return pa.RecordBatch.from_arrays([pa.array(permute(np.array(slots, np.int64), total, key)), pa.array(found, pa.binary())], ["slot", "record"])
+
+        for batch in batches:
+            slots, found = [], []
+            for ids, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                ids = ids.as_py()
+                for i, start in enumerate(range(0, len(ids), 2 * LENGTH)):
+                    part = ids[start : start + 2 * LENGTH]
+                    slots.append(base + i)
+                    found.append(part + PAD.to_bytes(2, "little") * (LENGTH - len(part) // 2))
+                if len(slots) > 8_000:
+                    yield rows(slots, found)
+                    slots, found = [], []
+            if slots:
+                yield rows(slots, found)
+
+    def placed(*columns: str) -> DataFrame:
+        """Rows with the number of their first sequence."""
+        here = rows.select("id", "n", "digest", *columns) if repeated else rows.select("id", *columns)
+        here = here.join(bases.select(F.col("id").alias("of"), "base").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")))
+        if repeated:
+            before = Window.partitionBy("id").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+            here = here.withColumn("base", F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        return here
+
+    return placed("tokens", "crcs").select("id", "tokens", "crcs", "base").mapInArrow(index, INDEX), placed("ids").select("ids", "base").mapInArrow(records, RECORD)
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
@@ -134,9 +159,9 @@ def materialise(docs: DataFrame, path: str | None = None, **kw) -> tuple[DataFra
     """Writes the shards of docs; returns the index (id, start, length, ids_crc32, slot) and the shards' folder."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tidemark/shards-{uuid.uuid4().hex}"
-    rows = sequences(docs, **kw)
-    index = written(rows.drop("record"), "slots")
-    write_shards(rows, path)
+    index, records = sequences(docs, **kw)
+    index = written(index, "slots")
+    write_shards(records, path)
     return index, path
 
 
