@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -22,7 +21,7 @@ STRIDE = 2 * LENGTH + 1
 #: Sequences of a shard.
 SHARD = 8192
 ROUNDS = 6
-SALTS = 256
+TOKENS = "id long, part int, before long, tokens long, ids binary, crcs array<long>"
 INDEX = "id long, start long, length int, ids_crc32 long, slot long"
 RECORD = "slot long, record binary"
 
@@ -50,19 +49,20 @@ def permute(index, n: int, key: int):
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, text) to (id, tokens, n, ids, digest, crcs): a document's ids and the end id, two bytes each, and its n sequences' sums."""
+    """(id, part, text) to TOKENS: a document's ids and the end id, two bytes each, its n sequences' sums, and the number of sequences before it in its part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, end = word_ids(path), end_id.to_bytes(4, "little")
-        schema = pa.schema([("id", pa.int64()), ("tokens", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("digest", pa.binary()), ("crcs", pa.list_(pa.int64()))])
+        words, end, before = word_ids(path), end_id.to_bytes(4, "little"), 0
+        schema = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("crcs", pa.list_(pa.int64()))])
         for batch in batches:
             rows, held = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = np.frombuffer(words.of(text.as_py()) + end, "<u4").astype("<u2").tobytes()
                 crcs = [zlib.crc32(ids[i : i + 2 * LENGTH]) for i in range(0, len(ids), 2 * LENGTH)]
-                rows.append((doc, len(ids) // 2, len(crcs), ids, hashlib.blake2b(ids, digest_size=16).digest(), crcs))
+                rows.append((doc, part, before, len(ids) // 2, ids, crcs))
+                before += len(crcs)
                 held += len(ids)
                 if held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -70,30 +70,27 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("id", "text").mapInArrow(run, "id long, tokens long, n long, ids binary, digest binary, crcs array<long>")
-
-
-def first_indexes(rows: DataFrame) -> DataFrame:
-    """(id, n, copies) to (id, base, copies): the numbers before each document's sequences. Prefix sums run in SALTS parts; equal ids share one row."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = rows.groupBy("salt").agg(F.sum("n").alias("n")).select("salt", before.alias("far"))
-    here = F.coalesce(F.sum("n").over(Window.partitionBy("salt").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("near", here).join(F.broadcast(base), "salt").select("id", (F.col("far") + F.col("near")).alias("base"), "copies")
+    return docs.select("id", "part", "text").mapInArrow(run, TOKENS)
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, key: int = 1) -> tuple[DataFrame, DataFrame]:
     """Every document's ids and the end id in sequences of LENGTH, the last filled up, each with its slot: INDEX and RECORD rows.
 
-    A null text is the end id alone. Rows of the same id have slots of their own, in the order of their ids' digests;
-    rows with equal ids can change places. An empty table gives no rows. Texts are turned into ids once and written.
+    A null text is the end id alone. Rows of the same id have slots of their own. An empty table gives no rows.
+    Texts are turned into ids once and written with their numbers in the task's part of the table; the parts' sums, a
+    row for each task, then number all sequences, so that ids are shuffled by shard only. The same files, read in the
+    same splits, give the same slots.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = written(tokenised(own, path or tokenizer_path(), end_id), "ids")
-    each = rows.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
-    bases = written(first_indexes(each), "bases")
-    repeated = not bases.where("copies > 1").isEmpty()
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.spark_partition_id().alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = written(tokenised(own, path or tokenizer_path(), end_id), "ids", "zstd")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("part").agg(F.sum(F.size("crcs")).alias("n"))
+    bases = written(sums.select(F.col("part").alias("of"), "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("far")), "bases")
+    found = bases.agg(F.sum("n").alias("total"), F.count("*").alias("parts")).first()
+    total = found["total"] or 0
+    bases = bases.drop("n")
+    if found["parts"] < 200_000:  # rows of 12 bytes
+        bases = F.broadcast(bases)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -128,14 +125,9 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     def placed(*columns: str) -> DataFrame:
         """Rows with the number of their first sequence."""
-        here = rows.select("id", "n", "digest", *columns) if repeated else rows.select("id", *columns)
-        here = here.join(bases.select(F.col("id").alias("of"), "base").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")))
-        if repeated:
-            before = Window.partitionBy("id").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
-            here = here.withColumn("base", F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0)))
-        return here
-
-    return placed("tokens", "crcs").select("id", "tokens", "crcs", "base").mapInArrow(index, INDEX), placed("ids").select("ids", "base").mapInArrow(records, RECORD)
+        return rows.select("part", "before", *columns).join(bases, F.col("part") == F.col("of")).select(*columns, (F.col("far") + F.col("before")).alias("base"))
+
+    return placed("id", "tokens", "crcs").mapInArrow(index, INDEX), placed("ids").mapInArrow(records, RECORD)
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
