@@ -12,6 +12,9 @@ from tidemark.llm import common, jaccard, language, mixing, packing, substrings
 
 #: A document's language must be predicted with this score at least. Text in one language scores close to 1.
 LEAST_SCORE = 0.5
+#: Near duplicates: documents whose sets of shingles of so many words have at least this percentage in common.
+SHINGLE = 5
+ALIKE = 80
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +25,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect, the one with the least id stays."""
-    kept = jaccard.join(docs).where("id = component_id").select(F.col("id").alias("__id")).distinct()
+    kept = jaccard.join(docs, k=SHINGLE, percent=ALIKE).where("id = component_id").select(F.col("id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
 
 
