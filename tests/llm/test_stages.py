@@ -6,6 +6,7 @@ import pytest
 
 pytest.importorskip("tidemark.llm")
 import corpus_pipeline as pipeline
+from tidemark.llm import jaccard
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -38,3 +39,48 @@ def test_near_duplicates_on_five_words(spark):
     gone = {j for _, j in pairs}  # every planted group is a pair
     got = [r["doc_id"] for r in pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()]
     assert sorted(got) == [i for i, *_ in rows if i not in gone]
+
+
+def test_large_cells_are_split(spark, monkeypatch):
+    """Sets that share a passage: no group of cells is larger than two splits, and results are those of all pairs."""
+    from collections import Counter
+
+    monkeypatch.setattr(jaccard, "CELL", 1024, raising=False)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(rng.choice((2, 5, 30))))]), "en", "s", 0) for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    top = {i: i for i, *_ in rows}
+    for i, a, *_ in rows:
+        for j, b, *_ in rows[:i]:
+            if alike(a, b, 4) >= 85 and top[i] != top[j]:
+                old, new = max(top[i], top[j]), min(top[i], top[j])
+                top = {x: new if t == old else t for x, t in top.items()}
+    seen = []
+    real = jaccard.candidates
+
+    def spy(percent):
+        run = real(percent)
+
+        def counted(batches):
+            from pathlib import Path
+
+            for b in (held := list(batches)):
+                keys = list(zip(*(b.column(c).to_pylist() for c in b.schema.names if c in ("token", "band", "pair")), strict=True))
+                with Path(log).open("a") as f:
+                    f.writelines(f"{k}\n" for k in keys)
+            yield from run(held)
+
+        return counted
+
+    import tempfile
+
+    log = tempfile.mkstemp(prefix="cells-")[1]
+    monkeypatch.setattr(jaccard, "candidates", spy)
+    got = {r["id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert got == top
+    with open(log) as f:
+        seen = Counter(f)
+    # a split has 16 sets of 64 bytes on average
+    assert max(seen.values()) <= 48

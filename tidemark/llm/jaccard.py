@@ -23,6 +23,8 @@ LEAF = 32
 #: Members of a block that are compared in one task; of a larger block each split is compared with itself and PIVOTS.
 SPLIT = 96
 PIVOTS = 32
+#: Bytes of count vectors that a cell may hold; a larger one is dealt into splits, which meet pair by pair.
+CELL = 1 << 19
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 SET = "doc long, n int, same long, counts binary, prefix array<long>"
@@ -186,7 +188,7 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def candidates(percent: int) -> Callable:
-    """For mapInArrow over (token, band, same, n, home, counts) in order of token and band: links that connect each cell's survivors."""
+    """For mapInArrow over (token, band, pair, same, n, home, counts) in order of the first three: links that connect each cell's survivors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -219,8 +221,8 @@ def candidates(percent: int) -> Callable:
             if not batch.num_rows:
                 continue
             batch = pa.concat_batches([held, batch]) if held is not None else batch
-            token, band = batch.column("token").to_numpy(), batch.column("band").to_numpy()
-            edge = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(band) != 0)) + 1])
+            token, band, pair = (batch.column(c).to_numpy() for c in ("token", "band", "pair"))
+            edge = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(band) != 0) | (np.diff(pair) != 0)) + 1])
             if len(edge) > 1:
                 yield cells(batch, zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
             held = batch.slice(edge[-1])  # the last cell may go on
@@ -268,6 +270,35 @@ def compared(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     return rows.mapInArrow(links_in(percent, every), LINK)
 
 
+def in_cells(found: DataFrame, percent: int) -> DataFrame:
+    """SET rows to (token, band, pair, same, n, home, counts): any two sets of a token and band are together in a pair.
+
+    pair is 0, but where a cell's count vectors are larger than CELL: there each set goes to one of as many splits as
+    are needed, and each two splits are a pair, as is each by itself. Such a cell has each set once.
+    """
+    full = found.where("prefix IS NOT NULL AND n > 0")
+    each = full.select("same", "n", F.explode("prefix").alias("token"))
+    # at most the bytes of its counts
+    size = F.greatest(F.lit(GROUPS), F.ceil(2 * F.col("n") / DENSE))
+    # tokens of two different sets at least; of just two rows, the sizes must be near as well
+    shared = each.groupBy("token").agg(F.min("same").alias("x"), F.max("same").alias("y"), F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum(size).alias("bytes"))
+    shared = shared.where((F.col("x") != F.col("y")) & ((F.col("c") > 2) | (100 * F.col("low") >= percent * F.col("high")))).select("token", (F.col("bytes") > CELL).alias("large"))
+    # sizes in bands that grow by 1 / 0.85: similar sets are in the same band or the next
+    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    bands = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("p")
+    counts = full.groupBy("same").agg(F.first("counts").alias("counts"))
+    rows = each.join(shared, "token")
+    usual = rows.where("NOT large").join(counts, "same").select("token", bands, "same", "n", "counts").select("token", "p.band", F.lit(0).cast("long").alias("pair"), "same", "n", "p.home", "counts")
+    large = written(rows.where("large").select("token", "same", "n").distinct(), "large-cells")
+    if large.isEmpty():
+        return usual
+    large = large.select("token", bands, "same", "n").select("token", "p.band", "same", "n", "p.home")
+    splits = large.groupBy("token", "band").agg(F.ceil(F.sum(size) / CELL).cast("long").alias("splits"))
+    own, other = F.pmod(F.xxhash64("same"), F.col("splits")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("other")
+    large = large.join(splits, ["token", "band"]).select("*", own.alias("own"), other).withColumn("pair", F.least("own", "other") * F.col("splits") + F.greatest("own", "other"))
+    return usual.unionByName(large.join(counts, "same").select(usual.columns))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: id, n_shingles, component_id, the least id that links lead to.
 
@@ -282,16 +313,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = written(sets(plain, k, percent), "sets")
-    full = found.where("prefix IS NOT NULL AND n > 0")
-    each = full.select("same", "n", F.explode("prefix").alias("token"))
-    # tokens of two different sets at least; of just two rows, the sizes must be near as well
-    shared = each.groupBy("token").agg(F.min("same").alias("x"), F.max("same").alias("y"), F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
-    shared = shared.where((F.col("x") != F.col("y")) & ((F.col("c") > 2) | (100 * F.col("low") >= percent * F.col("high")))).select("token")
-    # sizes in bands that grow by 1 / 0.85: similar sets are in the same band or the next
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    cells = each.join(shared, "token").join(full.groupBy("same").agg(F.first("counts").alias("counts")), "same")
-    cells = cells.select("token", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("p"), "same", "n", "counts").select("token", "p.band", "same", "n", "p.home", "counts")
-    cells = cells.repartition(parts(spark), "token", "band").sortWithinPartitions("token", "band")
+    cells = in_cells(found, percent)
+    cells = cells.repartition(parts(spark), "token", "band", "pair").sortWithinPartitions("token", "band", "pair")
     blocks = components(cells.mapInArrow(candidates(percent), LINK), "candidates")
     # each node's least document stands for it
     nodes = found.where("n > 0").groupBy("same").agg(F.min("doc").alias("node"))
