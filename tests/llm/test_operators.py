@@ -238,17 +238,47 @@ def test_vectors(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
-def test_ordering(spark, docs, rows):
+def test_ordering(spark, rows):
+    """Shards against sequences made one by one; splits, repeated and null ids do not change the order."""
     import numpy as np
+    from tokenizers import Tokenizer
 
     assert sorted(ordering.permute(np.arange(1000), 1000, 7).tolist()) == list(range(1000))
-    index, path = ordering.materialise(docs)
-    index = index.collect()
-    assert sorted(r["slot"] for r in index) == list(range(len(index)))
-    back = {r["slot"]: bytes(r["ids"]) for r in ordering.read_shards(spark, path).collect()}
-    for r in index:
-        assert zlib.crc32(back[r["slot"]][: 2 * r["length"]]) == r["ids_crc32"]
-    assert ordering.read_shards(spark, path, 10).count() == len(index) - 10
+    t = Tokenizer.from_file(ordering.tokenizer_path())
+    rows = [(r[0], r[1], "s") for r in rows] + [(3, "another text " * 300, "s"), (None, "no id " * 400, "s"), (None, None, "s"), (-5, "minus", "s"), (7, rows[7][1], "s")]
+    want = []
+    for i, text, _ in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), 512):
+            want.append((i, start, np.array(ids[start : start + 512], "<u2").tobytes()))
+    orders = []
+    for splits in (2, 5):
+        path = ordering.materialise(spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(splits))
+        found = ordering.read_shards(spark, path).orderBy("slot").collect()
+        assert [r["slot"] for r in found] == list(range(len(want)))
+        assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 2 * r["length"] for r in found)
+        orders.append([(r["id"], r["start"], bytes(r["ids"])) for r in found])
+        assert ordering.read_shards(spark, path, 10).count() == len(want) - 10
+    assert orders[0] == orders[1] and sorted(orders[0], key=str) == sorted(want, key=str)
+    assert ordering.read_shards(spark, ordering.materialise(empty(spark))).count() == 0
+
+
+def test_ordering_shards(spark, docs, rows, monkeypatch):
+    """Many shards: they have about the same size, and together the order that one shard has."""
+    one = [(r["id"], r["start"]) for r in ordering.read_shards(spark, ordering.materialise(docs)).orderBy("slot").collect()]
+    monkeypatch.setattr(ordering, "SHARD", 2000)
+    path = ordering.materialise(docs)
+    many = ordering.read_shards(spark, path).orderBy("slot").collect()
+    assert [(r["id"], r["start"]) for r in many] == one and [r["slot"] for r in many] == list(range(len(one)))
+    assert len({r["shard"] for r in many}) > 8
+    assert all(r["byte_offset"] % ordering.STRIDE == 0 for r in many)
+    last = max(r["slot"] for r in many)
+    assert [r["slot"] for r in ordering.read_shards(spark, path, last).collect()] == [last]
+
+
+def test_ordering_refuses_wide_ids(spark):
+    with pytest.raises(Exception, match="two bytes"):
+        ordering.materialise(spark.createDataFrame([(1, "a")], "doc_id long, text string"), end_id=70_000)
 
 
 def test_pipeline(spark, sf):

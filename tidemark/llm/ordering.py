@@ -1,33 +1,37 @@
-"""Training-order materialisation: a keyed permutation gives every sequence a slot; shards hold slots in order at a fixed stride."""
+"""Training-order materialisation: a keyed permutation places every sequence; range partitions write it to shards at a fixed stride."""
 
 from __future__ import annotations
 
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, shared_dir, table, written
+from .common import shared_dir, table
 from .packing import END_ID, tokenizer_path, word_ids
 
 #: Ids of a sequence, each two bytes, and the id that fills up a document's last one.
 LENGTH = 512
 PAD = 0xFFFF
-#: A record ends in one byte that is no part of the ids.
-STRIDE = 2 * LENGTH + 1
-#: Sequences of a shard.
-SHARD = 8192
+#: What a record says of its sequence before the ids: document id, start, length, whether the id is null, checksum.
+HEADER = ">qIHHI"
+HEAD = 20
+#: A record ends in one byte that is no part of the ids: the text sink's line end.
+STRIDE = HEAD + 2 * LENGTH + 1
+#: Bytes of text that a shard is made of, on average.
+SHARD = 32 << 20
+#: Shards beyond so many are written several to a task, in order.
+TASKS = 100_000
 ROUNDS = 6
-TOKENS = "id long, part int, before long, tokens long, ids binary, crcs array<long>"
-INDEX = "id long, start long, length int, ids_crc32 long, slot long"
-RECORD = "slot long, record binary"
+RECORD = "shard int, place long, record binary"
 
 
 def permute(index, n: int, key: int):
-    """Slots of indexes 0..n-1: a Feistel network over the least even number of bits that holds n, walked on until inside."""
+    """Places of indexes 0..n-1: a Feistel network over the least even number of bits that holds n, walked on until inside."""
     import numpy as np
 
     half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
@@ -48,117 +52,130 @@ def permute(index, n: int, key: int):
     return out.astype(np.int64)
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, part, text) to TOKENS: a document's ids and the end id, two bytes each, its n sequences' sums, and the number of sequences before it in its part."""
+@dataclass(frozen=True)
+class Space:
+    """The numbers that sequences have before they are permuted.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    A document has the numbers from ((id - low) * contents + its text's digest mod contents) * longest on. They depend on
+    its id and text alone, so that neither splits nor tasks change the order, and nothing is counted before tokenising.
+    """
 
-        words, end, before = word_ids(path), end_id.to_bytes(4, "little"), 0
-        schema = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("crcs", pa.list_(pa.int64()))])
-        for batch in batches:
-            rows, held = [], 0
-            for doc, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = np.frombuffer(words.of(text.as_py()) + end, "<u4").astype("<u2").tobytes()
-                crcs = [zlib.crc32(ids[i : i + 2 * LENGTH]) for i in range(0, len(ids), 2 * LENGTH)]
-                rows.append((doc, part, before, len(ids) // 2, ids, crcs))
-                before += len(crcs)
-                held += len(ids)
-                if held > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return docs.select("id", "part", "text").mapInArrow(run, TOKENS)
-
-
-def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, key: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Every document's ids and the end id in sequences of LENGTH, the last filled up, each with its slot: INDEX and RECORD rows.
-
-    A null text is the end id alone. Rows of the same id have slots of their own. An empty table gives no rows.
-    Texts are turned into ids once and written with their numbers in the task's part of the table; the parts' sums, a
-    row for each task, then number all sequences, so that ids are shuffled by shard only. The same files, read in the
-    same splits, give the same slots.
+    low: int
+    span: int
+    contents: int
+    longest: int
+    shards: int
+
+    @property
+    def size(self) -> int:
+        return self.span * self.contents * self.longest
+
+
+def space(own: DataFrame) -> Space:
+    """From one pass over (id, text): the ids' range, the longest text, all texts' bytes."""
+    size = F.octet_length("text")
+    found = own.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(size).alias("longest"), F.sum(size).alias("bytes")).first()
+    low = found["low"] or 0
+    # a null id counts as one above all; ranges over 2 ** 40 ids are folded
+    span = min((found["high"] or 0) - low + 2, 1 << 40)
+    longest = (found["longest"] or 0) // LENGTH + 1
+    contents = max(1, min(1 << 20, (1 << 62) // (span * longest)))
+    return Space(low, span, contents, longest, max(1, -(-(found["bytes"] or 0) // SHARD)))
+
+
+def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, key: int = 1) -> tuple[DataFrame, int]:
+    """Every document's ids and the end id in sequences of LENGTH, the last filled up: RECORD rows, and the number of shards.
+
+    A null text is the end id alone. Rows of the same id have sequences of their own. An empty table gives no rows. Ids
+    that do not fit two bytes are an error.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.spark_partition_id().alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = written(tokenised(own, path or tokenizer_path(), end_id), "ids", "zstd")
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("part").agg(F.sum(F.size("crcs")).alias("n"))
-    bases = written(sums.select(F.col("part").alias("of"), "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("far")), "bases")
-    found = bases.agg(F.sum("n").alias("total"), F.count("*").alias("parts")).first()
-    total = found["total"] or 0
-    bases = bases.drop("n")
-    if found["parts"] < 200_000:  # rows of 12 bytes
-        bases = F.broadcast(bases)
-
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found, path = space(own), path or tokenizer_path()
+    width = -(-found.size // found.shards)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import struct
 
-        for batch in batches:
-            base, tokens = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("base", "tokens"))
-            n = -(-tokens // LENGTH)
-            doc = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            length = np.minimum(LENGTH, tokens[doc] - at * LENGTH).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(at * LENGTH), pa.array(length), batch.column("crcs").flatten(), pa.array(permute(base[doc] + at, total, key))], ["id", "start", "length", "ids_crc32", "slot"])
-
-    def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def rows(slots, found):
-            return pa.RecordBatch.from_arrays([pa.array(permute(np.array(slots, np.int64), total, key)), pa.array(found, pa.binary())], ["slot", "record"])
+        words, end = word_ids(path), end_id.to_bytes(4, "little")
+
+        def rows(index, out) -> pa.RecordBatch:
+            place = permute(np.concatenate(index), found.size, key)
+            return pa.RecordBatch.from_arrays([pa.array((place // width).astype(np.int32)), pa.array(place), pa.array(out, pa.binary())], ["shard", "place", "record"])
 
         for batch in batches:
-            slots, found = [], []
-            for ids, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = ids.as_py()
-                for i, start in enumerate(range(0, len(ids), 2 * LENGTH)):
-                    part = ids[start : start + 2 * LENGTH]
-                    slots.append(base + i)
-                    found.append(part + PAD.to_bytes(2, "little") * (LENGTH - len(part) // 2))
-                if len(slots) > 8_000:
-                    yield rows(slots, found)
-                    slots, found = [], []
-            if slots:
-                yield rows(slots, found)
-
-    def placed(*columns: str) -> DataFrame:
-        """Rows with the number of their first sequence."""
-        return rows.select("part", "before", *columns).join(bases, F.col("part") == F.col("of")).select(*columns, (F.col("far") + F.col("before")).alias("base"))
-
-    return placed("id", "tokens", "crcs").mapInArrow(index, INDEX), placed("ids").mapInArrow(records, RECORD)
-
-
-def write_shards(rows: DataFrame, path: str) -> None:
-    """A folder shard=K for each SHARD slots, with one file of records in slot order. A record is found at (slot mod SHARD) * STRIDE."""
-    shard = F.expr(f"slot div {SHARD}")
-    dealt = rows.select(shard.alias("shard"), "slot", F.col("record")).repartition(parts(rows.sparkSession), "shard").sortWithinPartitions("shard", "slot")
+            index, out = [], []
+            ids = batch.column("id")
+            offset = np.where(ids.is_null(), found.span - 1, (ids.fill_null(found.low).to_numpy() - found.low) % found.span).astype(np.uint64)
+            digest = (batch.column("digest").to_numpy() % found.contents).astype(np.uint64)
+            base = (offset * np.uint64(found.contents) + digest) * np.uint64(found.longest)
+            for doc, first, text in zip(ids.to_pylist(), base, batch.column("text"), strict=True):
+                wide = np.frombuffer(words.of(text.as_py()) + end, "<u4")
+                if wide.max() >= PAD:
+                    raise ValueError(f"token id {wide.max()} does not fit a record of two bytes an id")
+                data = wide.astype("<u2").tobytes()
+                for start in range(0, len(data), 2 * LENGTH):
+                    part = data[start : start + 2 * LENGTH]
+                    n = len(part) // 2
+                    out.append(struct.pack(HEADER, doc or 0, start // 2, n, doc is None, zlib.crc32(part)) + part + PAD.to_bytes(2, "little") * (LENGTH - n))
+                count = -(-len(wide) // LENGTH)
+                index.append((first + np.arange(count, dtype=np.uint64)) % np.uint64(found.size))
+                if len(out) > 8_000:
+                    yield rows(index, out)
+                    index, out = [], []
+            if out:
+                yield rows(index, out)
+
+    return own.select("id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, RECORD), found.shards
+
+
+def write_shards(rows: DataFrame, shards: int, path: str) -> None:
+    """A folder shard=K for each range of places, with one file of records in order of place; the folders in order hold all slots."""
+    tasks = min(shards, TASKS)
+    dealt = rows.repartitionById(tasks, F.expr(f"cast(cast(shard as bigint) * {tasks} div {shards} as int)")).sortWithinPartitions("shard", "place", "record")
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").option("lineSep", "\n").text(path)
 
 
+def shard_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).withColumn("shard", F.regexp_extract("path", r"shard=(\d+)", 1).cast("int"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, first, n): the first slot of each shard and its number of slots, from the files' sizes; a row for each file."""
+    sizes = shard_files(spark, path).select("shard", F.expr(f"length div {STRIDE}").alias("n"))
+    return sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"), "n")
+
+
 def read_shards(spark: SparkSession, path: str, slot: int = 0) -> DataFrame:
-    """(slot, ids as bytes) from a slot on: whole shards before it are not opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
-    # one file a shard, of SHARD * STRIDE bytes at most
-    files = files.withColumn("shard", shard).where(F.col("shard") >= slot // SHARD)
+    """(slot, shard, byte_offset, id, start, length, ids_crc32, ids) in the shards, from a slot on: shards before it are not opened."""
+    first = manifest(spark, path).where(F.col("first") + F.col("n") > slot).select(F.col("shard").alias("of"), "first")
     at = F.explode(F.sequence(F.lit(0), F.expr(f"cast(length div {STRIDE} as int)") - 1)).alias("i")
-    return files.select("shard", "content", at).select((F.col("shard") * SHARD + F.col("i")).alias("slot"), F.substring("content", F.col("i") * STRIDE + 1, F.lit(2 * LENGTH)).alias("ids")).where(F.col("slot") >= slot)
+    # a file is a shard: its size is bounded, as places are spread evenly
+    cut = shard_files(spark, path).join(first, F.col("shard") == F.col("of")).select("shard", "first", "content", at).select("shard", (F.col("first") + F.col("i")).alias("slot"), (F.col("i").cast("long") * STRIDE).alias("byte_offset"), F.substring("content", F.col("i") * STRIDE + 1, F.lit(STRIDE - 1)).alias("r"))
+
+    def number(begin: int, size: int):
+        return F.conv(F.hex(F.substring("r", begin + 1, size)), 16, -10).cast("long")
+
+    length = number(12, 2)
+    found = cut.select("slot", "shard", "byte_offset", F.when(number(14, 2) == 0, number(0, 8)).alias("id"), number(8, 4).alias("start"), length.alias("length"), number(16, 4).alias("ids_crc32"), F.substring("r", F.lit(HEAD + 1), (length * 2).cast("int")).alias("ids"))
+    return found.where(F.col("slot") >= slot)
 
 
-def materialise(docs: DataFrame, path: str | None = None, **kw) -> tuple[DataFrame, str]:
-    """Writes the shards of docs; returns the index (id, start, length, ids_crc32, slot) and the shards' folder."""
-    spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tidemark/shards-{uuid.uuid4().hex}"
-    index, records = sequences(docs, **kw)
-    index = written(index, "slots")
-    write_shards(records, path)
-    return index, path
+def materialise(docs: DataFrame, path: str | None = None, **kw) -> str:
+    """Writes the shards of docs and returns their folder.
+
+    Texts are turned into ids once, and ids are shuffled once, to the range of places that they belong to: no table is
+    written in between, and no range is sampled, as the permutation spreads places evenly. A sequence's slot is its rank
+    among all places: its shard's first slot and its place there. Equal places, which only rows with the same id and
+    the same text's digest have, are in order of what the records hold. An empty table gives no shard.
+    """
+    path = path or f"{shared_dir(docs.sparkSession)}/tidemark/shards-{uuid.uuid4().hex}"
+    rows, shards = records(docs, **kw)
+    write_shards(rows, shards, path)
+    return path
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, path = materialise(table(spark, sf_dir, "documents"))
-    index = index.where("id IS NOT NULL OR slot IS NOT NULL")
-    back = read_shards(spark, path).select(F.col("slot").alias("s"), F.crc32("ids").alias("record_crc32"))
-    return index.join(back, F.col("slot") == F.col("s")).select(F.col("id").alias("doc_id"), "start", F.col("length").cast("long").alias("length"), "ids_crc32", "slot", F.expr(f"slot div {SHARD}").alias("shard"), F.expr(f"(slot % {SHARD}) * {STRIDE}").alias("byte_offset"), "record_crc32")
+    back = read_shards(spark, materialise(table(spark, sf_dir, "documents")))
+    return back.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "slot", "shard", "byte_offset", F.crc32("ids").alias("record_crc32"))
