@@ -150,6 +150,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_shards(spark: SparkSession, path: str, slot: int = 0) -> DataFrame:
     """(slot, shard, byte_offset, id, start, length, ids_crc32, ids) in the shards, from a slot on: shards before it are not opened."""
     first = manifest(spark, path).where(F.col("first") + F.col("n") > slot).select(F.col("shard").alias("of"), "first")
+    if first.count() < 1_000_000:  # rows of 16 bytes; else files meet their first slots by key
+        first = F.broadcast(first)
     at = F.explode(F.sequence(F.lit(0), F.expr(f"cast(length div {STRIDE} as int)") - 1)).alias("i")
     # a file is a shard: its size is bounded, as places are spread evenly
     cut = shard_files(spark, path).join(first, F.col("shard") == F.col("of")).select("shard", "first", "content", at).select("shard", (F.col("first") + F.col("i")).alias("slot"), (F.col("i").cast("long") * STRIDE).alias("byte_offset"), F.substring("content", F.col("i") * STRIDE + 1, F.lit(STRIDE - 1)).alias("r"))

@@ -23,27 +23,42 @@ PIECE = "id long, start long, length int, ids_crc32 long, doc_tokens long"
 #: Letters as they are after lower-casing, in texts of no characters but these two blocks; normalising leaves those texts as they are.
 LETTER = "a-zªµºß-öø-ſ"
 OTHERS = re.compile("[^\x00-įı-ſ]")
-RUN = re.compile(f"[{LETTER}]+|[^{LETTER}]+")
+#: What is looked up: runs of letters, and of what is neither a letter nor a space.
+RUN = re.compile(f"[{LETTER}]+|[^{LETTER} ]+")
 WORD = re.compile(f"[{LETTER}]+")
 #: Characters of a text that are turned into ids at once.
 BLOCK = 1 << 20
 
 
 class Known(dict):
-    """Ids of strings that came up; a table that is full starts anew, and long strings are not kept."""
+    """Ids of strings that came up, the new ones before the ones that were new earlier; long strings are not kept.
+
+    When there are half as many as may be, they become the earlier ones, and those that were go.
+    """
 
     def __init__(self, make: Callable[[str], bytes], most: int, longest: int = 24):
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.half, self.longest, self.earlier = make, most // 2, longest, {}
 
     def __missing__(self, x: str) -> bytes:
-        found = self.make(x)
+        found = self.earlier.get(x)
+        if found is None:
+            found = self.make(x)
         if len(x) <= self.longest:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.earlier = dict(self)
                 self.clear()
             self[x] = found
         return found
 
 
+#: Writers of few ids, by their number.
+FEW = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def bytes_of(ids: list[int]) -> bytes:
+    return FEW[len(ids)](*ids) if len(ids) < len(FEW) else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes, from a vocabulary of lower-cased words whose tokens never span a space.
 
@@ -51,7 +66,7 @@ class WordIds:
     an apostrophe comes between them. Each is given to the tokenizer once and then looked up.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,21 +74,17 @@ class WordIds:
         # the letters of LETTER, as the vocabulary writes their bytes
         letters = [c for c in map(chr, range(0x180)) if WORD.fullmatch(c)]
         self.written = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters if not c.isascii()})
-        self.words, self.others, self.latin = Known(self.word, most), Known(self.whole, most), Known(self.chunk, most)
+        self.runs, self.chunks = Known(self.run, most), Known(self.whole, most // 4)
 
-    def word(self, run: str) -> bytes:
-        """Ids of a run of letters, past the steps that would find it to be one."""
-        ids = [x.id for x in self.model.tokenize(run if run.isascii() else run.translate(self.written))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def run(self, text: str) -> bytes:
+        """Ids of a run of letters, past the steps that would find it to be one, or of other characters."""
+        if not WORD.match(text):
+            return self.whole(text)
+        return bytes_of([x.id for x in self.model.tokenize(text if text.isascii() else text.translate(self.written))])
 
     def whole(self, text: str) -> bytes:
         """Ids of any text; without offsets, which nobody reads."""
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def chunk(self, text: str) -> bytes:
-        """Ids of lower-cased Latin letters and others between spaces."""
-        return self.word(text) if WORD.fullmatch(text) else b"".join([self.words[x] if WORD.match(x) else self.others[x] for x in RUN.findall(text)])
+        return bytes_of(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def of(self, text: str | None) -> bytes:
         if not text:
@@ -86,7 +97,7 @@ class WordIds:
             end = text.find(" ", start + BLOCK)
             end = len(text) if end < 0 else end
             part = text[start:end].replace("\n", " ")
-            out.append(b"".join(map(self.latin.__getitem__, part.lower().split(" ")) if latin else map(self.others.__getitem__, part.split(" "))))
+            out.append(b"".join(map(self.runs.__getitem__, RUN.findall(part.lower())) if latin else map(self.chunks.__getitem__, part.split(" "))))
             start = end
         return b"".join(out)
 
