@@ -40,34 +40,91 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_substrings(spark, docs, rows):
-    seen, want = {}, {}
+def odd_ids(rows):
+    """Rows that share an id, with equal and with other texts, and rows without one."""
+    w = [f"q{i}" for i in range(60)]
+    passage = rows[-1][1]
+    more = [(1, " ".join(w[:10]) + " " + passage + " " + " ".join(w[10:20])), (1, " ".join(w[20:60])), (1, rows[1][1]), (70, passage), (70, passage + " x"), (None, rows[3][1]), (None, passage), (None, None)]
+    return [*rows, *((i, t, "en", "s", "other", "k", "d", 1) for i, t in more)]
+
+
+def order_of(i):
+    return -(1 << 63) if i is None else i
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_substrings(spark, rows, odd):
+    rows = odd_ids(rows) if odd else rows
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    seen, want = {}, []
+    for i, t, *_ in rows:
+        w = (t or "").encode().split()
+        for p in range(len(w) - 12):
+            seen[tuple(w[p : p + 13])] = min(order_of(i), seen.get(tuple(w[p : p + 13]), order_of(i)))
     for i, t, *_ in rows:
         w = (t or "").encode().split()
         gone = bytearray(len(w))
         for p in range(len(w) - 12):
-            if seen.setdefault(tuple(w[p : p + 13]), i) < i:
+            if seen[tuple(w[p : p + 13])] < order_of(i):
                 gone[p : p + 13] = b"\1" * 13
-        want[i] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())
-    assert {r["id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup(docs).collect()} == want
+        want.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    got = substrings.dedup(docs, carry=True).collect()
+    assert sorted(((r["id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == sorted(want, key=str)
+    assert sorted((str(tuple(r["carried"])) for r in got)) == sorted(map(str, rows))
+    assert all((r["carried"]["text"] or "").split() == r["kept"].split() for r in got if not r["n_removed"])
     assert substrings.dedup(empty(spark)).count() == 0
 
 
-def test_suffixes(spark, docs, rows):
-    seen, want = set(), {}
+@pytest.mark.parametrize("odd", [False, True])
+def test_suffixes(spark, rows, odd):
+    rows = odd_ids(rows) if odd else rows
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    seen, want = {}, []
     for i, t, *_ in rows:
         b = (t or "").encode()
-        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            seen[b[p : p + 100]] = min(order_of(i), seen.get(b[p : p + 100], order_of(i)))
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        gone, here = bytearray(len(b)), set()
         for p in range(len(b) - 99):
             w = b[p : p + 100]
-            if w in seen:
+            if seen[w] < order_of(i) or w in here:
                 gone[p : p + 100] = b"\1" * 100
-            seen.add(w)
-        want[i] = (len(b), sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g))
-    assert {r["id"]: (r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in suffixes.dedup(docs).collect()} == want
+            here.add(w)
+        want.append((i, len(b), sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    got = suffixes.dedup(docs).collect()
+    assert sorted(((r["id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got), key=str) == sorted(want, key=str)
     assert suffixes.dedup(empty(spark)).count() == 0
 
 
+def test_settling_across_batches():
+    """However rows are cut into batches, the same rows go: kinds and documents that go on are carried over."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import windows as win
+
+    rng = random.Random(9)
+    rows = sorted((rng.randint(0, 3), rng.randint(0, 1), rng.randint(0, 3), rng.randint(0, 1), rng.randint(0, 5) << 14 | 1) for _ in range(300))
+    names = ["h1", "h2", "doc", "row", "at"]
+    for within in (False, True):
+        results = []
+        for size in (1, 2, 7, 300):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names) for i in range(0, 300, size)]
+            results.append(sorted(tuple(r.values()) for b in win.settle(10, within)(batches) for r in b.to_pylist()))
+        assert all(r == results[0] for r in results)
+        least = {}
+        for h1, h2, doc, *_ in rows:
+            least[h1, h2] = min(doc, least.get((h1, h2), doc))
+        own = {}
+        for h1, h2, doc, row, at in rows:
+            own[h1, h2, doc, row] = min(at, own.get((h1, h2, doc, row), at))
+        want = sum(doc > least[h1, h2] or (within and at > own[h1, h2, doc, row]) for h1, h2, doc, row, at in rows)
+        assert sum(r[4] >= 0 for r in results[0]) == want
+    assert np.all(win.later(np.zeros(0), *[np.zeros(0)] * 3, True) == np.zeros(0, bool))
+
+
 def test_sorting_orders_suffixes():
     import numpy as np
 

@@ -14,7 +14,6 @@ from .common import table
 
 WINDOW = 13
 GRAM = 5
-WINDOW_ROW = "h long, doc long, first long"
 OUT = "id long, n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept string"
 
 
@@ -42,64 +41,54 @@ def word_units() -> Callable:
 
 
 def window_rows(window: int) -> Callable:
-    """For mapInArrow over (doc, text, ask): a row with the Rabin-Karp hash of every window in the segments asked for."""
+    """For mapInArrow over (doc, row, text, ask): the Rabin-Karp hash of every window in the segments asked for, as SEGMENT rows of one window."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         units_from = word_units()
         for batch in batches:
-            for doc, text, ask in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                units = units_from(text)
-                first = np.array([x["first"] for x in ask], np.int64)
-                n = np.array([x["n"] for x in ask], np.int64)
+            docs, ids = (batch.column(c).to_numpy() for c in ("doc", "row"))
+            text, ask, rows, held = batch.column("text"), batch.column("ask"), [], 0
+            for k in np.lexsort((ids, docs)).tolist():
+                units, some = units_from(text[k].as_py()), ask[k].as_py()
+                first = np.array([x["first"] for x in some], np.int64)
+                n = np.array([x["n"] for x in some], np.int64)
                 each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 each = np.unique(each[each + window <= len(units)])
                 for start in range(0, len(units), win.STRETCH):
                     here = each[(each >= start) & (each < start + win.STRETCH)] - start
                     if len(here):
                         total = win.sums(units[start : start + win.STRETCH + window])
-                        yield win.table_of(WINDOW_ROW, win.hashes(total, here, here + window), np.full(len(here), doc), here + start)
+                        same, zero = np.ones(len(here), np.int64), np.zeros(len(here), np.int64)
+                        rows.append((win.hashes(total, here, here + window), zero.astype(np.uint64), same * docs[k], same * ids[k], here + start, same, zero))
+                        held += len(here)
+                if held > win.STRETCH:
+                    yield from win.dealt(rows, window, False)
+                    rows, held = [], 0
+            if rows:
+                yield from win.dealt(rows, window, False)
 
     return run
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs (doc, text) to intervals (doc, first, last) of words that go."""
+    """docs (doc, row, text) to intervals (win.INTERVAL) of words that go."""
     rows = win.settled(docs, word_units, window, gram, False, "word-windows")
-    each = win.asked(docs, rows).mapInArrow(window_rows(window), WINDOW_ROW)
-    # counted with partial sums before the shuffle; the join splits a window with very many places
-    least = each.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1")
-    more = each.join(least, "h").where("doc > least").select("doc", "first", (F.col("first") + window).alias("last"))
-    return rows.where("last >= 0").select("doc", "first", "last").unionByName(more)
+    each = win.asked(docs, rows).mapInArrow(window_rows(window), win.SEGMENT)
+    more = win.in_order(each).mapInArrow(win.settle(window, False), win.SETTLED)
+    return rows.unionByName(more).where("last >= 0").select("doc", "row", "first", "last")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, carry: bool = False) -> DataFrame:
     """Per document: id, n_words, n_removed, removed word intervals, and the kept words joined by one space.
 
     A word goes if a window that covers it is also in a document with a smaller id, judged on the input. A null text
-    has no words; a null id counts as smaller than all; rows that share an id are one document and leave each other
-    alone; a text with fewer words than a window stays as it is.
+    has no words; a null id counts as smaller than all; rows that share an id are documents that leave each other
+    alone; a text with fewer words than a window stays as it is. carry: the row's own columns come along as a struct.
     """
-    docs = win.plain(docs, id_col, text_col)
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = text.as_py().encode().split()
-                found = win.runs(gone, len(words))
-                kept, at = [], 0
-                for a, z in found:
-                    kept += words[at:a]
-                    at = z
-                kept += words[at:]
-                for column, x in zip(out, (win.own_id(doc), len(words), len(words) - len(kept), [{"first": a, "last": z} for a, z in found], b" ".join(kept).decode()), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), kind, pa.string()), strict=True)], ["id", "n_words", "n_removed", "removed", "kept"])
-
-    return win.removals(docs, repeated(docs, window, gram)).select("doc", "text", "gone").mapInArrow(cut, OUT)
+    docs = win.plain(docs, id_col, text_col, carry)
+    return win.cut(docs, repeated(docs, window, gram), lambda text: text.encode().split(), lambda kept: b" ".join([w for part in kept for w in part]).decode(), OUT)
 
 
 def kept_sha256(text: str) -> str:

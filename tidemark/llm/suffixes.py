@@ -18,7 +18,7 @@ GRAM = 32
 SHALLOW = 24
 #: Bytes of segments sorted at once.
 BLOCK = 1 << 20
-TEXT_ROW = "key long, doc long, first long, n int, body binary"
+TEXT_ROW = "key long, doc long, row long, first long, n int, body binary"
 OUT = "id long, n_bytes long, n_removed long, removed array<struct<first:long,last:long>>, kept binary"
 
 
@@ -76,26 +76,33 @@ def sort_suffixes(data: bytes, starts, length: int) -> tuple:
 
     raw = np.frombuffer(data + bytes(8), np.uint8)
     eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    shallow = min(SHALLOW, length - length % 8)
     order = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)
-    for depth in range(0, min(SHALLOW, length - length % 8), 8):
-        open_ = np.flatnonzero(np.concatenate([[False], np.diff(group) == 0]) | np.concatenate([np.diff(group) == 0, [False]])) if depth else np.arange(len(starts))
-        if not len(open_):
-            break
-        word = np.ascontiguousarray(eight[starts[order[open_]] + depth]).view(">u8").ravel().astype(np.uint64)
-        by = np.lexsort((word, group[open_]))
-        order[open_] = order[open_][by]
-        word = word[by]
-        new = np.zeros(len(order), bool)
-        new[open_[1:]] = word[1:] != word[:-1]
-        new[1:] |= np.diff(group) != 0
-        group = np.cumsum(new)
+    # multikey quicksort of all groups at once: each parts three ways by a pivot's next 8 bytes, and the middle goes on
+    # to the 8 bytes after; group: first place of each string's group, depth: bytes that its strings have in common
+    group, depth = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    open_ = np.arange(len(starts) if len(starts) > 1 and shallow else 0)
+    while len(open_):
+        word = np.ascontiguousarray(eight[starts[order[open_]] + depth[open_]]).view(">u8").ravel()
+        new = np.concatenate([[True], group[open_][1:] != group[open_][:-1]])
+        edge = np.flatnonzero(new)
+        size = np.diff(np.concatenate([edge, [len(open_)]]))
+        pivot = np.repeat(word[edge + size // 2], size)
+        side = (word > pivot).astype(np.int8) - (word < pivot)
+        by = np.lexsort((side, group[open_]))
+        order[open_], side = order[open_][by], side[by]
+        depth[open_] += 8 * (side == 0)
+        new[1:] |= side[1:] != side[:-1]
+        edge = np.flatnonzero(new)
+        size = np.diff(np.concatenate([edge, [len(open_)]]))
+        group[open_] = np.repeat(open_[edge], size)
+        open_ = open_[(np.repeat(size, size) > 1) & (depth[open_] < shallow)]
     same = np.zeros(len(order), bool)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(order)]])
     for a, z in zip(edges[:-1], edges[1:], strict=True):
         if z - a < 2:
             continue
-        deep = SHALLOW if length > SHALLOW else 0
+        deep = shallow
         trie = None
         for i in np.sort(order[a:z]).tolist():
             s = data[starts[i] + deep : starts[i] + length]
@@ -112,7 +119,7 @@ def sort_suffixes(data: bytes, starts, length: int) -> tuple:
 
 
 def segment_texts(window: int, gram: int) -> Callable:
-    """For mapInArrow over (doc, text, ask): each segment's bytes, filed by its gram and the bytes beside it.
+    """For mapInArrow over (doc, row, text, ask): each segment's bytes, filed by its gram and the bytes beside it.
 
     Windows with more room before the gram than after it are filed with the bytes before, the others with those after.
     """
@@ -123,8 +130,8 @@ def segment_texts(window: int, gram: int) -> Callable:
 
         side = (window - gram) // 2
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text, ask in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for doc, row, text, ask in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text", "ask")), strict=True):
                 data = text.encode()
                 for x in ask:
                     first, n, q = x["first"], x["n"], x["first"] + x["lead"]
@@ -133,16 +140,16 @@ def segment_texts(window: int, gram: int) -> Callable:
                     cut = min(max(q - side - first + 1, 0), n)  # windows from first on that start at q - side or before
                     for a, k, beside in ((first, cut, data[q - side : q]), (first + cut, n - cut, data[q + gram : q + gram + side])):
                         if k:
-                            for column, v in zip(out, (xxhash.xxh3_64_intdigest(beside, x["h1"] & (1 << 64) - 1) - (1 << 63), doc, a, k, data[a : a + k - 1 + window]), strict=True):
+                            for column, v in zip(out, (xxhash.xxh3_64_intdigest(beside, x["h1"] & (1 << 64) - 1) - (1 << 63), doc, row, a, k, data[a : a + k - 1 + window]), strict=True):
                                 column.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "doc", "first", "n", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "doc", "row", "first", "n", "body"])
 
     return run
 
 
 def earlier(window: int) -> Callable:
-    """For mapInArrow over TEXT_ROW rows in order of (key, doc, first): intervals of windows that an earlier one equals.
+    """For mapInArrow over TEXT_ROW rows in order of (key, doc, row, first): intervals of windows that an earlier one equals.
 
     Sorts blocks of whole keys. Of a key with more than a block, the rows that brought a new window go on to the next.
     """
@@ -151,26 +158,24 @@ def earlier(window: int) -> Callable:
         import numpy as np
 
         def settle(rows: list[tuple]) -> tuple:
-            data = b"".join(r[4] for r in rows)
-            n = np.array([r[3] for r in rows], np.int64)
-            size = np.array([len(r[4]) for r in rows], np.int64)
-            row = np.repeat(np.arange(len(rows)), n)
+            data = b"".join(r[5] for r in rows)
+            n = np.array([r[4] for r in rows], np.int64)
+            size = np.array([len(r[5]) for r in rows], np.int64)
+            at = np.repeat(np.arange(len(rows)), n)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             starts = np.repeat(np.cumsum(size) - size, n) + within
-            doc = np.array([r[1] for r in rows], np.int64)[row]
-            first = np.array([r[2] for r in rows], np.int64)[row] + within
+            doc, row = (np.array([r[c] for r in rows], np.int64)[at] for c in (1, 2))
+            first = np.array([r[3] for r in rows], np.int64)[at] + within
             # in order of document and start, so that ties come out earliest first
-            by = np.lexsort((first, doc))
+            by = np.lexsort((first, row, doc))
             order, same = sort_suffixes(data, starts[by], window)
             order = by[order]
-            # a start equal to the first of its string is the same place told twice
-            head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-            same &= (doc[order] != doc[head]) | (first[order] != first[head])
-            gone = order[same]
-            gone = gone[np.lexsort((first[gone], doc[gone]))]
+            # a place told twice is no later than itself
+            gone = order[win.later(np.cumsum(~same), doc[order], row[order], first[order], True)]
+            gone = gone[np.lexsort((first[gone], row[gone], doc[gone]))]
             new = np.ones(len(order), bool)
             new[gone] = False
-            return win.joined(doc[gone], first[gone], first[gone] + window), np.unique(row[new])
+            return win.joined(doc[gone], row[gone], first[gone], first[gone] + window), np.unique(at[new])
 
         held: list[tuple] = []
         size = 0
@@ -178,52 +183,36 @@ def earlier(window: int) -> Callable:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size > BLOCK and (r[0] != held[-1][0] or size > 4 * BLOCK):
                     found, new = settle(held)
-                    yield win.table_of("doc long, first long, last long", *found)
+                    yield win.table_of(win.INTERVAL, *found)
                     held = [held[i] for i in new if held[i][0] == r[0]]
-                    size = sum(len(x[4]) for x in held) if len(held) < 3 else BLOCK // 2
+                    size = sum(len(x[5]) for x in held) if len(held) < 3 else BLOCK // 2
                 held.append(r)
-                size += len(r[4])
+                size += len(r[5])
         if held:
-            yield win.table_of("doc long, first long, last long", *settle(held)[0])
+            yield win.table_of(win.INTERVAL, *settle(held)[0])
 
     return run
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs (doc, text) to intervals (doc, first, last) of bytes that go."""
+    """docs (doc, row, text) to intervals (win.INTERVAL) of bytes that go."""
     rows = win.settled(docs, byte_units, window, gram, True, "byte-windows")
     texts = win.asked(docs, rows).mapInArrow(segment_texts(window, gram), TEXT_ROW)
-    texts = texts.repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "doc", "first")
-    more = texts.mapInArrow(earlier(window), "doc long, first long, last long")
-    return rows.where("last >= 0").select("doc", "first", "last").unionByName(more)
+    texts = texts.repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "doc", "row", "first")
+    more = texts.mapInArrow(earlier(window), win.INTERVAL)
+    return rows.where("last >= 0").select("doc", "row", "first", "last").unionByName(more)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, carry: bool = False) -> DataFrame:
     """Per document: id, n_bytes, n_removed, removed byte intervals and the kept bytes.
 
     A byte goes if a window that covers it also starts earlier: in a document with a smaller id, or before it in the
     same one; judged on the input. A null text is empty; a null id counts as smaller than all; rows that share an id
-    and a text are one document.
+    are documents that leave each other alone, but for those with the same text, which are one. carry: the row's own
+    columns come along as a struct.
     """
-    docs = win.plain(docs, id_col, text_col)
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_py().encode()
-                found = win.runs(gone, len(data))
-                kept, at = [], 0
-                for a, z in found:
-                    kept.append(data[at:a])
-                    at = z
-                kept = b"".join([*kept, data[at:]])
-                for column, x in zip(out, (win.own_id(doc), len(data), len(data) - len(kept), [{"first": a, "last": z} for a, z in found], kept), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), kind, pa.binary()), strict=True)], ["id", "n_bytes", "n_removed", "removed", "kept"])
-
-    return win.removals(docs, repeated(docs, window, gram)).select("doc", "text", "gone").mapInArrow(cut, OUT)
+    docs = win.plain(docs, id_col, text_col, carry)
+    return win.cut(docs, repeated(docs, window, gram), str.encode, b"".join, OUT)
 
 
 def kept_sha256(kept: bytes) -> str:

@@ -21,9 +21,11 @@ from .common import parts, written
 STRETCH = 1 << 19
 PLACE = (1 << 20) - 1
 NO_ID = -(1 << 63)
-SEGMENT = "h1 long, h2 long, doc long, at long"
+#: row tells documents apart that share an id; such documents are neither earlier nor later than each other.
+SEGMENT = "h1 long, h2 long, doc long, row long, at long"
 #: last >= 0: units [first, last) of doc go. Otherwise a segment to be looked into, with its gram.
-SETTLED = "h1 long, doc long, first long, last long, lead int, n int"
+SETTLED = "h1 long, doc long, row long, first long, last long, lead int, n int"
+INTERVAL = "doc long, row long, first long, last long"
 
 
 @cache
@@ -112,14 +114,14 @@ def stretches(documents: Iterable[tuple[int, object]], window: int) -> Iterator[
         yield full()
 
 
-def joined(doc, first, last) -> tuple:
+def joined(doc, row, first, last) -> tuple:
     """Overlapping or touching intervals of the same document made one; given in order of document and start."""
     import numpy as np
 
     if not len(doc):
-        return doc, first, last
-    new = np.concatenate([[True], (np.diff(doc) != 0) | (first[1:] > last[:-1])])
-    return doc[new], first[new], last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(doc) - 1]])]
+        return doc, row, first, last
+    new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(row) != 0) | (first[1:] > last[:-1])])
+    return doc[new], row[new], first[new], last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(doc) - 1]])]
 
 
 def table_of(schema: str, *columns) -> pa.RecordBatch:
@@ -128,108 +130,131 @@ def table_of(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view("int64") if x.dtype == "uint64" else x.astype(kinds[t].to_pandas_dtype()), kinds[t]) for x, t in zip(columns, types, strict=True)], names)
 
 
-def segment_rows(units_of: Callable, window: int, gram: int, within: bool) -> Callable:
-    """For mapInArrow over (doc, text): SEGMENT rows. at holds start, place of the gram and number of windows.
+def later(kind, doc, row, start, within: bool):
+    """Which of rows in order of (kind, doc, row, start) go: an equal kind is in a document with a smaller id or, within, starts earlier in the same one."""
+    import numpy as np
+
+    if not len(kind):
+        return np.zeros(0, bool)
+    new = np.concatenate([[True], kind[1:] != kind[:-1]])
+    gone = doc > doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    if within:
+        new = new | np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(row) != 0)])
+        gone |= start > start[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return gone
+
+
+def dealt(rows: list[tuple], window: int, within: bool) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, doc, row, start, windows, place of the gram) in order of (doc, row, start) to SEGMENT rows. at holds the last three.
 
-    What repeats inside an Arrow batch is settled there: such rows hold an interval, -1 - start in at and its length in
-    h2, so that a segment with many copies crosses the shuffle about once for each batch.
+    What repeats among them is settled here: such rows hold an interval, -1 - start in at and its length in h2, so that
+    a segment with many copies crosses the shuffle about once for each Arrow batch.
     """
+    import numpy as np
+
+    h1, h2, doc, row, start, count, lead = (np.concatenate(x) for x in zip(*rows, strict=True))
+    both = h1 * np.uint64(3) + h2
+    order = np.argsort(both, kind="stable")
+    gone = np.zeros(len(h1), bool)
+    gone[order] = later(both[order], doc[order], row[order], start[order], within)
+    d, r, a, z = joined(doc[gone], row[gone], start[gone], (start + count - 1 + window)[gone])
+    keep = ~gone
+    yield table_of(SEGMENT, h1[keep], h2[keep], doc[keep], row[keep], (start << 14 | lead << 7 | count)[keep])
+    yield table_of(SEGMENT, mixed((d + a).astype(np.uint64)), z - a, d, r, -1 - a)
+
+
+def segment_rows(units_of: Callable, window: int, gram: int, within: bool) -> Callable:
+    """For mapInArrow over (doc, row, text): SEGMENT rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         units_from = units_of()
         for batch in batches:
-            documents = sorted(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), key=lambda x: x[0])
-            rows = []
-            for units, owner, ids, starts in stretches(((k, units_from(t.as_py())) for k, t in documents), window):
+            docs, ids = (batch.column(c).to_numpy() for c in ("doc", "row"))
+            order, text, rows = np.lexsort((ids, docs)), batch.column("text"), []
+            for units, owner, own, starts in stretches(((k, units_from(text[k].as_py())) for k in order.tolist()), window):
                 h1, h2, first, count, lead = segments(units, owner, window, gram)
-                own = owner[first] if len(first) else first
-                begin = np.searchsorted(owner, own)
-                rows.append((h1, h2, ids[own], first - begin + starts[own], count, lead))
-            if not rows:
-                continue
-            h1, h2, doc, start, count, lead = (np.concatenate(x) for x in zip(*rows, strict=True))
-            both = h1 * np.uint64(3) + h2
-            order = np.argsort(both, kind="stable")
-            new = np.concatenate([[True], np.diff(both[order]) != 0]) if len(order) else np.zeros(0, bool)
-            least = order[new][np.cumsum(new) - 1] if len(order) else order
-            gone = np.zeros(len(h1), bool)
-            gone[order] = (doc[order] > doc[least]) | ((doc[order] == doc[least]) & (start[order] > start[least]) if within else False)
-            d, a, z = joined(doc[gone], start[gone], (start + count - 1 + window)[gone])
-            keep = ~gone
-            yield table_of(SEGMENT, h1[keep], h2[keep], doc[keep], (start << 14 | lead << 7 | count)[keep])
-            yield table_of(SEGMENT, mixed((d + a).astype(np.uint64)), z - a, d, -1 - a)
+                at = owner[first] if len(first) else first
+                rows.append((h1, h2, docs[own[at]], ids[own[at]], first - np.searchsorted(owner, at) + starts[at], count, lead))
+            if rows:
+                yield from dealt(rows, window, within)
 
     return run
 
 
 def settle(window: int, within: bool) -> Callable:
-    """For mapInArrow over SEGMENT rows in order of (h1, h2, doc, at): SETTLED rows. Holds one Arrow batch and the open gram's first rows."""
+    """For mapInArrow over SEGMENT rows in order of (h1, h2, doc, row, at): SETTLED rows. Holds one Arrow batch and the open gram's first rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        none = [np.zeros(0, np.int64)] * 4
+        none = [np.zeros(0, np.int64)] * 5
         held, classes = none, 0  # rows of the open gram that wait for a second kind of segment; kinds so far
-        last = None  # h1, h2 and the first doc and at of the open kind
+        ahead = none  # the open kind's first row, and the first one of the document that it is at
         for batch in batches:
-            h1, h2, doc, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            easy = at < 0
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            easy = columns[4] < 0
             if easy.any():
-                a = -1 - at[easy]
-                yield table_of(SETTLED, h1[easy], doc[easy], a, a + h2[easy], a * 0, a * 0)
-                h1, h2, doc, at = (x[~easy] for x in (h1, h2, doc, at))
-            if not len(h1):
+                h1, length, doc, row, a = (x[easy] for x in columns)
+                a = -1 - a
+                yield table_of(SETTLED, h1, doc, row, a, a + length, a * 0, a * 0)
+                columns = [x[~easy] for x in columns]
+            if not len(columns[0]):
                 continue
-            if last is not None:  # the open kind's first row goes ahead, not to be told again
-                h1, h2, doc, at = (np.concatenate([[x], y]) for x, y in zip(last, (h1, h2, doc, at), strict=True))
+            known = len(ahead[0])
+            h1, h2, doc, row, at = columns = [np.concatenate(x) for x in zip(ahead, columns, strict=True)]
+            fresh = np.arange(len(h1)) >= known
             new_gram = np.concatenate([[True], np.diff(h1) != 0])
             new_kind = new_gram | np.concatenate([[True], np.diff(h2) != 0])
-            first = np.flatnonzero(new_kind)[np.cumsum(new_kind) - 1]
-            gone = (doc > doc[first]) | ((doc == doc[first]) & (at >> 14 > at[first] >> 14) if within else False)
+            gone = later(np.cumsum(new_kind), doc, row, at >> 14, within) & fresh
             group = np.cumsum(new_gram) - 1
             kinds = np.bincount(group, new_kind).astype(int)
-            if last is not None:
+            if known:
                 kinds[0] += classes - 1
             a = at[gone] >> 14
-            yield table_of(SETTLED, h1[gone], doc[gone], a, a + (at[gone] & 127) - 1 + window, a * 0, a * 0)
-            fresh = np.ones(len(h1), bool)
-            fresh[0] = last is None
+            yield table_of(SETTLED, h1[gone], doc[gone], row[gone], a, a + (at[gone] & 127) - 1 + window, a * 0, a * 0)
             left = ~gone & fresh
             ask = left & (kinds[group] > 1)
-            asked = [x[ask] for x in (h1, doc, at)]
-            if last is not None and kinds[0] > 1 and len(held[0]):
-                asked = [np.concatenate([x, y]) for x, y in zip(asked, (held[0], held[2], held[3]), strict=True)]
+            asked = [x[ask] for x in (h1, doc, row, at)]
+            if known and kinds[0] > 1 and len(held[0]):
+                asked = [np.concatenate([x, held[c]]) for x, c in zip(asked, (0, 2, 3, 4), strict=True)]
                 held = none
-            elif last is not None and group[-1] > 0:
+            elif known and group[-1] > 0:
                 held = none
             if len(asked[0]):
-                yield table_of(SETTLED, asked[0], asked[1], asked[2] >> 14, np.full(len(asked[0]), -1), asked[2] >> 7 & 127, asked[2] & 127)
+                yield table_of(SETTLED, *asked[:3], asked[3] >> 14, np.full(len(asked[0]), -1), asked[3] >> 7 & 127, asked[3] & 127)
             wait = left & (group == group[-1]) & (kinds[group] == 1)
-            held = [np.concatenate([x, y[wait]]) for x, y in zip(held, (h1, h2, doc, at), strict=True)]
-            classes, last = kinds[-1], tuple(x[first[-1]] for x in (h1, h2, doc, at))
+            held = [np.concatenate([x, y[wait]]) for x, y in zip(held, columns, strict=True)]
+            classes = kinds[-1]
+            first = np.flatnonzero(new_kind)[-1]
+            here = np.flatnonzero(new_kind | np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(row) != 0)]))[-1]
+            ahead = [x[[first, here]] for x in columns]
 
     return run
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """SEGMENT rows as settle() takes them."""
+    return rows.repartition(parts(rows.sparkSession), "h1").sortWithinPartitions("h1", "h2", "doc", "row", "at")
+
+
 def settled(docs: DataFrame, units_of: Callable, window: int, gram: int, within: bool, name: str) -> DataFrame:
-    """docs (doc, text) to SETTLED rows, written. within: an earlier start in the same document counts as well."""
-    rows = docs.mapInArrow(segment_rows(units_of, window, gram, within), SEGMENT)
-    rows = rows.repartition(parts(docs.sparkSession), "h1").sortWithinPartitions("h1", "h2", "doc", "at")
-    return written(rows.mapInArrow(settle(window, within), SETTLED), name)
+    """docs (doc, row, text) to SETTLED rows, written. within: an earlier start in the same document counts as well."""
+    rows = docs.select("doc", "row", "text").mapInArrow(segment_rows(units_of, window, gram, within), SEGMENT)
+    return written(in_order(rows).mapInArrow(settle(window, within), SETTLED), name)
 
 
 def asked(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Documents with the segments of theirs that are to be looked into: doc, text, ask."""
-    ask = rows.where("last < 0").groupBy("doc").agg(F.collect_list(F.struct("h1", "first", "lead", "n")).alias("ask"))
-    return docs.join(ask.hint("shuffle_hash"), "doc")
+    """Documents with the segments of theirs that are to be looked into: doc, row, text, ask."""
+    ask = rows.where("last < 0").groupBy("doc", "row").agg(F.collect_list(F.struct("h1", "first", "lead", "n")).alias("ask"))
+    return docs.select("doc", "row", "text").join(ask.hint("shuffle_hash"), ["doc", "row"])
 
 
 def removals(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs with their intervals (doc, first, last) as an array, null where there are none."""
-    each = rows.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-    return docs.join(each.hint("shuffle_hash"), "doc", "left")
+    """docs with their intervals (INTERVAL rows) as an array, null where there are none."""
+    each = rows.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
+    return docs.join(each.hint("shuffle_hash"), ["doc", "row"], "left")
 
 
 def runs(gone: list | None, n: int) -> list[tuple[int, int]]:
@@ -245,10 +270,45 @@ def runs(gone: list | None, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text) with an empty text for null and a least id for null."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def plain(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(doc, row, text) with an empty text for null and a least id for null; with carry, also all columns as a struct.
+
+    row is 0 where ids are unique, as they should be. Where any id repeats, it is the text's digest, so that rows that
+    share an id are documents of their own, but for equal ones, which share their result.
+    """
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] if carry else []))
+    unique = own.groupBy("doc").count().where("count > 1").isEmpty()
+    return own.withColumn("row", F.lit(0).cast("long") if unique else F.xxhash64("text"))
 
 
 def own_id(doc) -> int | None:
     return None if doc == NO_ID else doc
+
+
+def cut(docs: DataFrame, intervals: DataFrame, split: Callable, join: Callable, out: str) -> DataFrame:
+    """plain() rows to (id, units, removed units, removed intervals, kept text[, carried]); out names and types them."""
+    found = removals(docs, intervals)
+    carry = "carried" in docs.columns
+    schema = f"{out}{f', carried {docs.schema["carried"].dataType.simpleString()}' if carry else ''}"
+    names = [x.split()[0] for x in out.split(", ")]
+    kept_kind = pa.binary() if out.endswith("binary") else pa.string()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), kept_kind)
+        for batch in batches:
+            columns: tuple[list, ...] = ([], [], [], [], [])
+            for doc, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                units = split(text.as_py())
+                taken = runs(gone, len(units))
+                kept, at = [], 0
+                for a, z in taken:
+                    kept.append(units[at:a])
+                    at = z
+                kept.append(units[at:])
+                n = sum(z - a for a, z in taken)
+                for column, x in zip(columns, (own_id(doc), len(units), n, [{"first": a, "last": z} for a, z in taken], join(kept)), strict=True):
+                    column.append(x)
+            rest = [batch.column(3)] if carry else []
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, kinds, strict=True)), *rest], [*names, *(["carried"] if carry else [])])
+
+    return found.select("doc", "text", "gone", *(["carried"] if carry else [])).mapInArrow(run, schema)
