@@ -136,7 +136,7 @@ def test_sorting_orders_suffixes():
     assert got == sorted(got) and same.tolist() == [False, *[a == b for a, b in zip(got, got[1:], strict=False)]]
 
 
-def test_jaccard(spark, docs, rows):
+def test_jaccard(spark, docs, rows, monkeypatch):
     sets = {}
     for i, t, *_ in rows:
         w = (t or "").encode().lower().split()
@@ -155,10 +155,39 @@ def test_jaccard(spark, docs, rows):
                 top[max(a, b)] = min(a, b)
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs).collect()}
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    # any order of tokens finds the same links
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    assert len(jaccard.frequent(docs.select("text").na.fill(""), 4)) > 0
+    assert got == {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs).collect()}
     assert len({c for _, c in got.values()}) < len(got)
     assert jaccard.join(empty(spark)).count() == 0
 
 
+def test_jaccard_odd_ids(spark):
+    """Rows that share an id are apart unless linked; rows without an id are linked with nothing."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, a), (None, b), (4, ""), (1, a)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted(((r["id"], r["component_id"], r["n_shingles"]) for r in got.collect()), key=str)
+    assert found == sorted([(1, 1, 37)] * 3 + [(2, 1, 37), (3, 1, 37), (None, None, 37), (None, None, 37), (4, 4, 0)], key=str)
+    assert sorted(r["count"] for r in got.where("class IS NOT NULL").groupBy("class").count().collect()) == [2, 3]
+
+
+def test_tree_reaches_all_that_bounds_allow():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    points = rng.poisson(1.5, (700, 16)).astype(np.int32)
+    sizes = points.sum(axis=1)
+    tree = jaccard.CountTree(points, sizes)
+    assert len(tree.levels) > 2 and len(tree.levels[-1][1]) == 1
+    found = set()
+    tree.join(lambda i, js: found.update(tuple(sorted((int(i), int(j)))) for j in js), 85, np.arange(700))
+    over = np.minimum(points[:, None], points[None]).sum(axis=2)
+    want = {(i, j) for i in range(700) for j in range(i + 1, 700) if 185 * over[i, j] >= 85 * (sizes[i] + sizes[j])}
+    assert found == want
+
+
 def test_jaccard_large_block(spark):
     """A group larger than a split: pivots, splits and what they leave out give the same components as all pairs."""
     rng = random.Random(5)
@@ -202,6 +231,8 @@ def test_mixing(spark, docs, rows):
     assert max(level, default=0) - min(level, default=0) < 1e-6
     assert sorted(map(str, got)) == sorted(map(str, mixing.plan(docs).collect()))
     assert mixing.mix(docs).count() == sum(r["copies"] for r in got) and mixing.mix(docs).columns == docs.columns
+    odd = spark.createDataFrame([*rows, *(rows[20],) * 3, *((None, "some words here", "en", "s1", "o", "k", "d", 1),) * 4], DOCS)
+    assert mixing.mix(odd).count() == sum(r["copies"] for r in mixing.plan(odd).collect())
     assert mixing.plan(empty(spark)).count() == 0
 
 
@@ -265,6 +296,17 @@ def test_language(spark, sf):
     said = {r["id"]: (r["lang_pred"], r["score"]) for r in language.predict(odd, model).collect()}
     assert said[1] == said[2] == said[3] == ("und", 0.0) and said[4][0] == "en" and 0 <= said[4][1] <= 1
     assert language.predict(odd, language.fit(empty(spark))).where("lang_pred <> 'und'").count() == 0
+    carried = language.predict(odd.withColumn("lang_pred", F.lit("own")), model, carry=True).collect()
+    assert sorted((r["carried"]["doc_id"], r["carried"]["text"] or "", r["carried"]["lang_pred"]) for r in carried) == [(i, t or "", "own") for i, t in sorted(map(tuple, odd.collect()))]
+
+
+def test_language_names_and_letters(spark):
+    """Languages may be called anything; numbers of any script are no letters."""
+    rows = [(i, text, lang) for i in range(30) for text, lang in (("the cat of the house", "k"), ("der hund und das haus", "gram"), ("la casa del perro", "a`b.c"), ("un chat et la maison", "0"))]
+    model = language.fit(spark.createDataFrame([(4 * i + j, t, x) for j in range(4) for i, t, x in rows[j::4]], "doc_id long, text string, lang string"))
+    assert model["langs"] == ["0", "a`b.c", "gram", "k"]
+    odd = spark.createDataFrame([(1, "²"), (2, "½ ①"), (3, "Ⅷ 3"), (4, "der hund²"), (5, "the² cat")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language.predict(odd, model).orderBy("id").collect()] == ["und", "und", "und", "gram", "k"]
 
 
 def test_wrappers(spark):

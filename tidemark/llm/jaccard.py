@@ -20,6 +20,10 @@ DENSE = 12
 #: A count that is larger is kept as this and bounds nothing.
 MANY = 255
 LEAF = 32
+#: Children of an inner node of the tree.
+FAN = 8
+#: Tokens of more sets than this come last in the order that prefixes are taken in, the MOST most frequent ones at most.
+FREQUENT, MOST = 1024, 1 << 20
 #: Members of a block that are compared in one task; of a larger block each split is compared with itself and PIVOTS.
 SPLIT = 96
 PIVOTS = 32
@@ -27,7 +31,7 @@ PIVOTS = 32
 CELL = 1 << 19
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
-SET = "doc long, n int, same long, counts binary, prefix array<long>"
+SET = "doc long, row long, n int, same long, counts binary, prefix array<long>"
 LINK = "a long, b long"
 
 
@@ -78,9 +82,10 @@ def points_of(counts: list[bytes]):
 
 
 class CountTree:
-    """An R-tree of count vectors: leaves of LEAF points in order of set size, each with the largest count per group.
+    """An R-tree of count vectors: leaves of LEAF points in order of set size, inner nodes of FAN nodes, up to one root.
 
-    Sum over groups of the smaller count bounds an overlap from above; with boxes, of the smaller of the largest counts.
+    Each node holds the largest count per group and the least size below it. Sum over groups of the smaller count
+    bounds an overlap from above; with boxes, of the smaller of the largest counts.
     """
 
     def __init__(self, points, sizes):
@@ -89,10 +94,27 @@ class CountTree:
         heavy = points.argmax(axis=1) if len(points) else sizes
         self.order = np.lexsort((heavy, sizes))
         self.points, self.sizes = points[self.order], sizes[self.order].astype(np.int64)
-        at = np.arange(0, len(self.order), LEAF)
-        self.begin = at
-        self.top = np.maximum.reduceat(self.points, at, axis=0)
-        self.low = self.sizes[at]
+        self.begin = np.arange(0, len(self.order), LEAF)
+        self.levels = [(np.maximum.reduceat(self.points, self.begin, axis=0), self.sizes[self.begin])]
+        while len(self.levels[-1][1]) > 1:
+            top, low = self.levels[-1]
+            at = np.arange(0, len(low), FAN)
+            self.levels.append((np.maximum.reduceat(top, at, axis=0), low[at]))
+
+    def reach(self, leaf: int, percent: int):
+        """Leaves from this one on that may hold a set similar to one of its own, found from the root down."""
+        import numpy as np
+
+        box, least = self.levels[0][0][leaf], self.levels[0][1][leaf]
+        nodes = np.zeros(1, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            top, low = self.levels[depth]
+            bound = np.minimum(box, top[nodes]).sum(axis=1, dtype=np.int64)
+            nodes = nodes[((100 + percent) * bound >= percent * (least + low[nodes])) & ((nodes + 1) * FAN**depth > leaf)]
+            if depth:
+                nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
+                nodes = nodes[nodes < len(self.levels[depth - 1][1])]
+        return nodes
 
     def join(self, linked: Callable, percent: int, labels) -> None:
         """Calls linked(i, js) for every point i and the points js after it that may be similar enough and have another label."""
@@ -101,8 +123,7 @@ class CountTree:
         order, n = self.order, len(self.order)
         for leaf, a in enumerate(self.begin):
             z = min(a + LEAF, n)
-            bound = np.minimum(self.top[leaf], self.top[leaf:]).sum(axis=1, dtype=np.int64)
-            open_ = np.flatnonzero((100 + percent) * bound >= percent * (self.low[leaf] + self.low[leaf:])) + leaf
+            open_ = self.reach(leaf, percent)
             step = max(1, 4096 // self.points.shape[1])
             for some in range(0, len(open_), step):
                 js = np.concatenate([np.arange(self.begin[x], min(self.begin[x] + LEAF, n)) for x in open_[some : some + step]])
@@ -162,27 +183,64 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple]:
         yield pa.Table.from_batches(held)
 
 
+def frequent(docs: DataFrame, k: int):
+    """Sorted tokens that more than FREQUENT sets have, the MOST most frequent ones at most.
+
+    Counted over all texts: those that come up in three sets of an Arrow batch, which a token of that many sets does
+    where it matters, are added up over batches. Results do not depend on it: any order of tokens finds all links.
+    """
+    import numpy as np
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shingle_sets(k)
+        for batch in batches:
+            texts = {x.as_py() for x in batch.column(0)}
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(shingles, texts)]), return_counts=True)
+            token, n = token[n > 2], n[n > 2]
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    counts = written(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT), "frequent")
+    least, held = FREQUENT, 0
+    for row in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.col("power").desc()).collect():
+        held += row["count"]
+        if held > MOST:
+            least = 2 ** (row["power"] + 1)
+            break
+    return np.sort(counts.where(F.col("n") >= least).select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc, text) to SET rows. Of equal sets in an Arrow batch only the first has its counts and prefix."""
+    """(doc, row, text) to SET rows. Of equal sets in an Arrow batch only the first has its counts and prefix.
+
+    A prefix is the first tokens in order of hash, frequent ones last.
+    """
+    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))  # MOST numbers at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
 
-        shingles = shingle_sets(k)
+        shingles, late = shingle_sets(k), last.value
         for batch in batches:
-            seen, out = set(), ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            seen, out = set(), ([], [], [], [])
+            for text in batch.column("text"):
                 tokens = shingles(text.as_py())
                 n = len(tokens)
                 same = xxhash.xxh3_64_intdigest(tokens.tobytes(), n & 0xFFFF) - (1 << 63)
                 fresh = n > 0 and same not in seen
                 seen.add(same)
                 # below 7 in the union, two different sets cannot reach 85 %, nor does any size with prefix 1 need more
-                prefix = tokens[: n - -(-percent * n // 100) + 1].view(np.int64) if fresh else None
-                for column, x in zip(out, (doc, n, same, counts_of(tokens).tobytes() if fresh else None, prefix), strict=True):
+                prefix = None
+                if fresh:
+                    size = n - -(-percent * n // 100) + 1
+                    if len(late):
+                        common = late[np.minimum(np.searchsorted(late, tokens), len(late) - 1)] == tokens
+                        prefix = np.concatenate([tokens[~common][:size], tokens[common][: max(0, size - n + int(common.sum()))]]).view(np.int64)
+                    else:
+                        prefix = tokens[:size].view(np.int64)
+                for column, x in zip(out, (n, same, counts_of(tokens).tobytes() if fresh else None, prefix), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["doc", "n", "same", "counts", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), *(pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True))], ["doc", "row", "n", "same", "counts", "prefix"])
 
     return docs.mapInArrow(run, SET)
 
@@ -242,7 +300,7 @@ def links_in(percent: int, every: bool) -> Callable:
         import numpy as np
 
         for group in grouped(batches, 3):
-            node, at = np.unique(group.column("node").to_numpy(), return_index=True)
+            node, at = np.unique(group.column("node").to_numpy(zero_copy_only=False), return_index=True)
             if len(node) < 2:
                 continue
             raw = group.column("tokens").to_pylist()
@@ -300,39 +358,42 @@ def in_cells(found: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: id, n_shingles, component_id, the least id that links lead to.
+    """Per document: id, n_shingles, component_id, the least id that links lead to; row, the text's digest, and class, the component's own number.
 
-    Equal sets are one node. Sets that can be similar share a token among the least of their hashes (prefix filter);
-    sets that share one and whose sizes are near meet in a cell, where the tree drops pairs whose counts cannot give
-    the overlap. What is connected by the rest is a block, whose members' whole sets are compared. A block of more
-    than SPLIT members is dealt into splits, each compared with itself and some pivots; what is then outside its
-    largest component is compared with all of it. Pairs that are connected already are not compared.
+    Equal sets are one node. Sets that can be similar share a token among the first of theirs (prefix filter, tokens
+    that many sets have coming last); sets that share one and whose sizes are near meet in a cell, where the tree drops
+    pairs whose counts cannot give the overlap. What is connected by the rest is a block, whose members' whole sets are
+    compared. A block of more than SPLIT members is dealt into splits, each compared with itself and some pivots; what
+    is then outside its largest component is compared with all of it. Pairs that are connected already are not compared.
 
-    A null or blank text has an empty set and is linked with nothing; a null id is not linked and stays null.
+    A null or blank text has an empty set and is linked with nothing; a null id is not linked and stays null; both have
+    no class. Rows that share an id and differ are documents of their own, in classes of their own unless linked.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
     found = written(sets(plain, k, percent), "sets")
-    cells = in_cells(found, percent)
+    linkable = found.where("n > 0 AND doc IS NOT NULL")
+    cells = in_cells(linkable, percent)
     cells = cells.repartition(parts(spark), "token", "band", "pair").sortWithinPartitions("token", "band", "pair")
     blocks = components(cells.mapInArrow(candidates(percent), LINK), "candidates")
-    # each node's least document stands for it
-    nodes = found.where("n > 0").groupBy("same").agg(F.min("doc").alias("node"))
+    # a set's node is its digest; the least document that has it lends its text
+    nodes = linkable.groupBy("same").agg(F.min(F.struct("doc", "row")).alias("first"))
     in_block = blocks.select(F.col("node").alias("same"), F.col("component").alias("block"))
     sized = in_block.groupBy("block").agg(F.count("*").alias("size"))
-    members = nodes.join(in_block, "same").join(sized, "block").select("block", "size", "node")
-    ask = plain.join(members.withColumnRenamed("node", "doc").hint("shuffle_hash"), "doc")
+    members = nodes.join(in_block, "same").join(sized, "block").select("first.doc", "first.row", "block", "size", F.col("same").alias("node"))
+    ask = plain.join(members.hint("shuffle_hash"), ["doc", "row"])
     whole = written(with_tokens(ask, k), "members")
     splits = F.ceil(F.col("size") / SPLIT).cast("int")
     chance = F.pmod(F.xxhash64("node"), F.col("size"))
-    dealt = F.when(F.col("size") <= SPLIT + PIVOTS, F.array(F.lit(0))).when(chance < PIVOTS, F.sequence(F.lit(0), splits - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), splits).cast("int")))
-    first = written(compared(whole.select("block", F.explode(dealt).alias("split"), F.lit(0).alias("part"), "node", F.lit(True).alias("ask"), "tokens"), percent, True), "near")
+    split = F.when(F.col("size") <= SPLIT + PIVOTS, F.array(F.lit(0))).when(chance < PIVOTS, F.sequence(F.lit(0), splits - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), splits).cast("int")))
+    first = written(compared(whole.select("block", F.explode(split).alias("split"), F.lit(0).alias("part"), "node", F.lit(True).alias("ask"), "tokens"), percent, True), "near")
     large = whole.where(F.col("size") > SPLIT + PIVOTS)
     if not large.isEmpty():
         so_far = components(first, "near-so-far")
         of = large.select("block", "size", "node").join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
         most = of.groupBy("block", "component").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-        of = written(of.join(most, "block").withColumn("out", F.col("component") != F.col("largest")).select("node", "out"), "outside")
+        of = written(of.join(most, "block").withColumn("out", F.col("component") != F.col("largest")).select("node", "out").distinct(), "outside")
         rest = large.join(of, "node")
         chunks = rest.where("out").groupBy("block").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("chunks"))
         rest = rest.join(chunks, "block")
@@ -342,22 +403,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         rest = rest.select("block", "node", "tokens", F.explode("x.s").alias("split"), "x.p", "x.ask").select("block", "split", F.explode("p").alias("part"), "node", "ask", "tokens")
         first = first.unionByName(compared(rest, percent, False))
     linked = components(first, "near")
-    label = nodes.join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    some = found.where("n > 0").join(label, "same").select(F.col("doc").alias("id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.col("component_id")).alias("component_id"))
-    return some.unionByName(found.where("n = 0").select(F.col("doc").alias("id"), F.lit(0).cast("long").alias("n_shingles"), F.col("doc").alias("component_id")))
+    label = nodes.join(linked, nodes["same"] == linked["node"], "left").select("same", "first.doc", F.coalesce("component", "same").alias("class"))
+    least = label.groupBy("class").agg(F.min("doc").alias("component_id"))
+    label = label.select("same", "class").join(least, "class")
+    some = linkable.join(label, "same").select(F.col("doc").alias("id"), F.col("n").cast("long").alias("n_shingles"), "component_id", "row", "class")
+    rest = found.where("n = 0 OR doc IS NULL").select(F.col("doc").alias("id"), F.col("n").cast("long").alias("n_shingles"), F.col("doc").alias("component_id"), "row", F.lit(None).cast("long").alias("class"))
+    return some.unionByName(rest)
 
 
 def with_tokens(rows: DataFrame, k: int) -> DataFrame:
-    """(doc, text, block, size) to (block, size, node, tokens)."""
+    """(text, block, size, node) to (block, size, node, tokens)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingle_sets(k)
         for batch in batches:
-            tokens = pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), tokens], ["block", "size", "node", "tokens"])
+            tokens = pa.array([shingles(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("size"), batch.column("node"), tokens], ["block", "size", "node", "tokens"])
 
-    return rows.select("doc", "text", "block", "size").mapInArrow(run, "block long, size long, node long, tokens binary")
+    return rows.select("text", "block", "size", "node").mapInArrow(run, "block long, size long, node long, tokens binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: The model is fitted on about so many labelled documents of each language, drawn by a hash of the id.
 SAMPLE = 400
 LONGEST = 4
 SEEN = 3
+#: Letters and what else counts as part of a word; words that are not letters alone are taken apart once more.
 LETTERS = re.compile(r"[^\W\d_]+")
 OUT = "id long, lang_pred string, score double"
 
@@ -26,6 +27,16 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def words_of(text: str) -> Counter:
+    """Runs of letters (Unicode category L, as in fit()) of a lower-cased text, with their numbers."""
+    counts = Counter(LETTERS.findall(text.lower()))
+    for word in [w for w in counts if not w.isalpha()]:
+        n = counts.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            counts[part] += n
+    return counts
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
     """Per-language log frequencies of words and of their n-grams of 1 to LONGEST characters, from labelled rows.
 
@@ -36,28 +47,28 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not n:
         return {"langs": [], "levels": {}}
+    langs = sorted(n)
     below = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, sample / k))])
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(below, F.col("lang")) * (1 << 20))
+    # languages are numbers from here on, so that none is taken for a column
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(below, F.col("lang")) * (1 << 20)).select("text", F.element_at(number, F.col("lang")).alias("lang"))
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    levels = {0: words}
+    words = written(words, "language-words")
     padded = F.concat(F.lit(" "), "gram", F.lit(" "))
+    grams = F.array(F.struct(F.lit(0).alias("k"), F.col("gram").alias("gram")))
     for k in range(1, LONGEST + 1):
         at = F.when(F.length(padded) >= k, F.sequence(F.lit(1), F.length(padded) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        levels[k] = words.select("lang", "n", F.explode(F.transform(at, lambda i, k=k: padded.substr(i, F.lit(k)))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    langs = sorted(n)
-    both = None
-    for k, rows in levels.items():
-        one = rows.select(F.lit(k).alias("k"), "lang", "gram", "n")
-        both = one if both is None else both.unionByName(one)
-    kept = both.groupBy("k", "gram").pivot("lang", langs).agg(F.sum("n")).where(sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in langs), F.lit(0)) >= SEEN)
+        grams = F.concat(grams, F.transform(at, lambda i, k=k: F.struct(F.lit(k).alias("k"), padded.substr(i, F.lit(k)).alias("gram"))))
+    both = words.select("lang", "n", F.explode(grams).alias("g")).groupBy("g.k", "g.gram").pivot("lang", list(range(len(langs)))).agg(F.sum("n"))
+    kept = both.where(sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in range(len(langs))), F.lit(0)) >= SEEN)
     found = kept.toArrow()
     import numpy as np
 
-    counts = np.array([np.nan_to_num(found.column(x).to_numpy(zero_copy_only=False).astype(np.float32)) for x in langs]).T.reshape(-1, len(langs))
+    counts = np.array([np.nan_to_num(found.column(str(x)).to_numpy(zero_copy_only=False).astype(np.float32)) for x in range(len(langs))]).T.reshape(-1, len(langs))
     ks, grams = found.column("k").to_numpy(), found.column("gram").to_pylist()
     del found
     model = {"langs": langs, "levels": {}, "logs": np.zeros((len(counts) + 1, len(langs)), np.float32)}
-    for k in levels:
+    for k in range(LONGEST + 1):
         here = np.flatnonzero(ks == k)
         c = counts[here]
         model["logs"][here] = np.log(c + 0.5) - np.log(c.sum(axis=0) + 0.5 * max(1, len(here)))
@@ -100,7 +111,7 @@ class Scorer:
         import numpy as np
 
         langs, at = self.model["langs"], self.at
-        counts = Counter(LETTERS.findall(text.lower())) if text else None
+        counts = words_of(text) if text else None
         if not counts or not langs:
             return "und", 0.0
         new = [w for w in counts if w not in at]
@@ -121,17 +132,21 @@ class Scorer:
         return langs[best], score if math.isfinite(score) else 0.0
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, lang_pred, score in 0..1. A text that is null or has no letter, or a model without languages, gives und and 0."""
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Per document: id, lang_pred, score in 0..1. A text that is null or has no letter, or a model without languages, gives und and 0.
+
+    carry: the row's own columns come along as a struct, so that rows need not be found again by their ids.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] if carry else []))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             said = [scorer.of(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64()), *batch.columns[2:]], ["id", "lang_pred", "score", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(score, OUT)
+    return rows.mapInArrow(score, f"{OUT}, carried {rows.schema['carried'].dataType.simpleString()}" if carry else OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,16 @@ def draw(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
 
 
+def rated(rows: DataFrame, sized: DataFrame, id_col: str, source_col: str, weights, share: float, most: float, seed: str) -> DataFrame:
+    """rows with __size, __target (their source's) and __copies. sized: (source, size) of all documents."""
+    # Written, the sources' table has a known size: Spark broadcasts it below its threshold and joins by key, splitting hot keys, above.
+    aims = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    aims = aims.select(F.col("source").alias("__of"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
+    rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(F.lit(0.0))
+    copies = F.floor(rate) + (draw(F.col(f"`{id_col}`"), seed) < rate - F.floor(rate)).cast("long")
+    return rows.join(aims, F.col(f"`{source_col}`").eqNullSafe(F.col("__of"))).withColumn("__copies", copies.cast("long")).drop("__of")
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """Per document: id, size, source_size, target, copies.
 
@@ -55,18 +65,18 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     hashed draw lies below the fraction. A null text has size 0, a null source is a source of its own, a source
     without words has target 0, equal ids draw alike, and an empty table gives no rows.
     """
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "sizes")
-    # Written, the sources' table has a known size: Spark broadcasts it below its threshold and joins by key, splitting hot keys, above.
-    aims = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets").withColumnRenamed("source", "of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw(F.col("id"), seed) < rate - F.floor(rate)).cast("long")
-    return sized.join(aims, F.col("source").eqNullSafe(F.col("of"))).select("id", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    sized = written(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size")), "sizes")
+    return rated(sized, sized, "id", "source", weights, share, most, seed).select("id", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
+
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """The documents, each as often as plan() says; columns stay as they are.
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The documents, each as often as its source's rate says. Columns stay as they are; ids are unique."""
-    copies = plan(docs, id_col, **kw).select(F.col("id").alias("__id"), F.col("copies").alias("__copies")).where("__copies > 0")
-    return docs.join(copies, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies", "__copy")
+    Copies are made of the row itself: rows that share an id, or have none, are taken each by itself.
+    """
+    sized = docs.select(F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size"))
+    taken = rated(docs, sized, id_col, source_col, weights, share, most, seed).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
