@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word, for every operator that counts or compares words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +37,14 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_row(df: DataFrame):
+    """All columns of df as one struct, to take a row through an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried")
+
+
+def carrying(out: str, rows: DataFrame) -> StructType:
+    """The columns of out and, where rows have it, the struct of whole_row()."""
+    schema = StructType.fromDDL(out)
+    return schema.add("carried", rows.schema["carried"].dataType) if "carried" in rows.columns else schema

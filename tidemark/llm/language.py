@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import carrying, table, whole_row, written
 
 #: The model is fitted on about so many labelled documents of each language, drawn by a hash of the id.
 SAMPLE = 400
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     carry: the row's own columns come along as a struct, so that rows need not be found again by their ids.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] if carry else []))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([whole_row(docs)] if carry else []))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             said = [scorer.of(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64()), *batch.columns[2:]], ["id", "lang_pred", "score", *batch.schema.names[2:]])
 
-    return rows.mapInArrow(score, f"{OUT}, carried {rows.schema['carried'].dataType.simpleString()}" if carry else OUT)
+    return rows.mapInArrow(score, carrying(OUT, rows))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import carrying, parts, whole_row, written
 
 #: Units hashed at once; a longer document is taken in overlapping stretches.
 STRETCH = 1 << 19
@@ -276,7 +276,7 @@ def plain(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> D
     row is 0 where ids are unique, as they should be. Where any id repeats, it is the text's digest, so that rows that
     share an id are documents of their own, but for equal ones, which share their result.
     """
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] if carry else []))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([whole_row(docs)] if carry else []))
     unique = own.groupBy("doc").count().where("count > 1").isEmpty()
     return own.withColumn("row", F.lit(0).cast("long") if unique else F.xxhash64("text"))
 
@@ -289,7 +289,6 @@ def cut(docs: DataFrame, intervals: DataFrame, split: Callable, join: Callable,
     """plain() rows to (id, units, removed units, removed intervals, kept text[, carried]); out names and types them."""
     found = removals(docs, intervals)
     carry = "carried" in docs.columns
-    schema = f"{out}{f', carried {docs.schema["carried"].dataType.simpleString()}' if carry else ''}"
     names = [x.split()[0] for x in out.split(", ")]
     kept_kind = pa.binary() if out.endswith("binary") else pa.string()
 
@@ -311,4 +310,4 @@ def cut(docs: DataFrame, intervals: DataFrame, split: Callable, join: Callable,
             rest = [batch.column(3)] if carry else []
             yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, kinds, strict=True)), *rest], [*names, *(["carried"] if carry else [])])
 
-    return found.select("doc", "text", "gone", *(["carried"] if carry else [])).mapInArrow(run, schema)
+    return found.select("doc", "text", "gone", *(["carried"] if carry else [])).mapInArrow(run, carrying(out, docs))
