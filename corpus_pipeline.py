@@ -1,6 +1,7 @@
 """A corpus from raw documents: language, near duplicates, repeated passages, source mix, packed sequences.
 
-Counts as part of the subpackage for training data and goes with it.
+Counts as part of the subpackage for training data and goes with it. Every stage takes rows as they are: null and empty
+texts, rows that share an id, rows without one, and columns of any name. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,24 +19,33 @@ ALIKE = 80
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language is unclear. Nothing else is held against a document."""
-    said = language.predict(docs, language.fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return docs.join(said.select(F.col("id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    """Drops documents without letters (null and empty texts too) and those whose language is unclear. Nothing else is held against a document."""
+    said = language.predict(docs, language.fit(docs), carry=True)
+    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("carried.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the least id stays."""
-    kept = jaccard.join(docs, k=SHINGLE, percent=ALIKE).where("id = component_id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    """Of documents that links connect, the one with the least id stays; of rows with the least id and different texts, the one with the least digest.
+
+    Equal rows are one document. Documents without an id or without words are linked with nothing and stay.
+    """
+    found = common.written(jaccard.join(docs, k=SHINGLE, percent=ALIKE), "near-classes")
+    kept = found.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "row")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.row").alias("__of"))
+    keyed = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    alone = F.col("doc_id").isNull() | (mixing.words_in(F.col("text")) == 0)
+    stay = keyed.where(~alone).join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__row") == F.col("__of")), "left_semi")
+    if not found.where("class IS NOT NULL").groupBy("id", "row").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id", "__row"])
+    return stay.unionByName(keyed.where(alone)).drop("__row")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of texts; a text that none is taken from stays as it is, one with nothing left goes."""
-    cut = substrings.dedup(docs).where("n_removed > 0").select(F.col("id").alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
-    text = F.coalesce("__kept", "text")
-    out = docs.join(cut, F.col("doc_id") == F.col("__id"), "left").where(F.col("__kept").isNull() | (F.col("__kept") != ""))
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).drop("__id", "__kept")
+    cut = substrings.dedup(docs, carry=True).where("n_removed = 0 OR kept <> ''")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("carried.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    changed = {"text": text, "n_chars": n_chars}
+    return cut.select(*[(changed[c] if c in changed else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +60,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", by_language), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_passages), ("source mix", source_mix), ("packing", packed)]
 
-#: The stages learn, compare and tokenise in ways that SQL has no words for; tests hold run() against brute force.
+#: The stages learn, compare and tokenise in ways that SQL has no words for; tests hold each stage and run() against brute force.
 ORACLE_SQL = None
 
 
