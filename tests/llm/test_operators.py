@@ -98,6 +98,23 @@ def test_suffixes(spark, rows, odd):
     assert suffixes.dedup(empty(spark)).count() == 0
 
 
+def test_word_hashes():
+    """Equal words have equal hashes wherever they are, different ones different ones; long texts and words too."""
+    from tidemark.llm import windows as win
+
+    long = "y" * 70_000
+    text = " \t".join(["a", "aa", "b\x00", "é", "\u2003", long, "a", "aa"]) + "\r\x0b\x0c\n"
+    filler = " ".join(f"w{i}" for i in range(200_000))
+    known: dict = {}
+    for data in (text, f"x {text}", f"{filler} {text}", "a\n" * 400_000 + "z" * 600_000 + " " + text, ""):
+        words = data.encode().split()
+        found = win.word_hashes(data.encode()).tolist()
+        assert len(found) == len(words)
+        for w, h in zip(words, found, strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
 def test_settling_across_batches():
     """However rows are cut into batches, the same rows go: kinds and documents that go on are carried over."""
     import numpy as np

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .common import parts, table, written
 from .components import components
-from .substrings import WordHashes
 
 WORDS = 4
 PERCENT = 85
@@ -39,22 +38,23 @@ def shingle_sets(k: int) -> Callable:
     """A function from text to the sorted distinct hashes of its k-word shingles; A-Z are lower-cased."""
     import numpy as np
 
-    from .windows import mixed
+    from .windows import STRETCH, hashes, mixed, sums, word_hashes
 
-    known, lower = WordHashes(), bytes.maketrans(UPPER, LOWER)
+    lower = bytes.maketrans(UPPER, LOWER)
 
     def of(text: str):
-        words = text.encode().translate(lower).split()
-        if len(known) > 150_000:
-            known.clear()
-        units = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        units = word_hashes(text.encode().translate(lower))
         if not len(units):
             return units
-        n = max(1, len(units) - k + 1)
-        h = np.full(n, min(k, len(units)), np.uint64)
-        for j in range(min(k, len(units))):
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + units[j : j + n])
-        return np.unique(h)
+        # mixed, as the hash of a shingle is a sum over its words
+        units, size = mixed(units), min(k, len(units))
+        found = []
+        for at in range(0, len(units) - size + 1, STRETCH):
+            total = sums(units[at : at + STRETCH + size - 1])
+            first = np.arange(len(total) - size)
+            found.append(hashes(total, first, first + size))
+        h = np.sort(np.concatenate(found) + np.uint64(size))
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
     return of
 

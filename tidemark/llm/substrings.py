@@ -17,27 +17,9 @@ GRAM = 5
 OUT = "id long, n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept string"
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
 def word_units() -> Callable:
-    """A function from text to the 64-bit hashes of its words; bytes.split() parts at exactly the six ASCII white spaces."""
-    import numpy as np
-
-    known = WordHashes()
-
-    def of(text: str):
-        words = text.encode().split()
-        if len(known) > 150_000:
-            known.clear()
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    return of
+    """A function from text to the 64-bit hashes of its words."""
+    return lambda text: win.word_hashes(text.encode())
 
 
 def window_rows(window: int) -> Callable:

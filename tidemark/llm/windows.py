@@ -63,6 +63,47 @@ def hashes(total, first, last):
     return mixed((total[last] - total[first]) * powers()[1][first])
 
 
+@cache
+def byte_values() -> tuple:
+    """A number for each byte, and which bytes are white space."""
+    import numpy as np
+
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64, endpoint=False), space
+
+
+def word_hashes(data: bytes):
+    """64-bit hashes of the words of UTF-8 text, what the six ASCII white spaces part: each the Rabin-Karp hash of its bytes.
+
+    A long text is taken in parts between words. Words of more than 64 KiB are hashed one by one.
+    """
+    import numpy as np
+    import xxhash
+
+    values, space = byte_values()
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= STRETCH else data.rfind(b" ", at, at + STRETCH) + 1
+        if end <= at:
+            end = data.find(b" ", at + STRETCH) + 1 or len(data)
+        raw = np.frombuffer(data, np.uint8, end - at, at)
+        edges = np.flatnonzero(np.diff(space[raw], prepend=True, append=True))
+        first, last = edges[::2], edges[1::2]
+        long = np.flatnonzero(last - first > 1 << 16)
+        if len(raw) <= STRETCH:
+            found = hashes(sums(values[raw]), first, last)
+        else:  # hardly any space: word by word
+            found = np.zeros(len(first), np.uint64)
+            for i in np.flatnonzero(last - first <= 1 << 16):
+                found[i] = hashes(sums(values[raw[first[i] : last[i]]]), np.zeros(1, np.int64), last[i : i + 1] - first[i])[0]
+        for i in long:
+            found[i] = xxhash.xxh3_64_intdigest(data[at + first[i] : at + last[i]])
+        out.append(found)
+        at = end
+    return np.concatenate(out)
+
+
 def segments(units, owner, window: int, gram: int) -> tuple:
     """(h1, h2, first window, number of windows, place of the gram in the first) of each segment; owner: each unit's document."""
     import numpy as np
