@@ -39,12 +39,18 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def whole_row(df: DataFrame):
-    """All columns of df as one struct, to take a row through an operator."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried")
+def beside(df: DataFrame, text_col: str):
+    """All columns of df but the text as one struct, to take a row through an operator next to its text."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("carried")
 
 
 def carrying(out: str, rows: DataFrame) -> StructType:
-    """The columns of out and, where rows have it, the struct of whole_row()."""
+    """The columns of out and, where rows have them, those that make up the row: its text and the struct of beside()."""
     schema = StructType.fromDDL(out)
-    return schema.add("carried", rows.schema["carried"].dataType) if "carried" in rows.columns else schema
+    return schema.add("text", "string").add("carried", rows.schema["carried"].dataType) if "carried" in rows.columns else schema
+
+
+def restored(df: DataFrame, columns: list[str], text_col: str = "text", **changed) -> DataFrame:
+    """The rows that an operator took along, with their columns as they were, or as changed says."""
+    own = {text_col: F.col("text")} | changed
+    return df.select(*[own.get(c, F.col(f"carried.`{c}`")).alias(c) for c in columns])

@@ -23,6 +23,8 @@ LEAF = 32
 FAN = 8
 #: Tokens of more sets than this come last in the order that prefixes are taken in, the MOST most frequent ones at most.
 FREQUENT, MOST = 1024, 1 << 20
+#: Tokens that are counted at once.
+RUN = 1 << 20
 #: Members of a block that are compared in one task; of a larger block each split is compared with itself and PIVOTS.
 SPLIT = 96
 PIVOTS = 32
@@ -186,18 +188,32 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple]:
 def frequent(docs: DataFrame, k: int):
     """Sorted tokens that more than FREQUENT sets have, the MOST most frequent ones at most.
 
-    Counted over all texts: those that come up in three sets of an Arrow batch, which a token of that many sets does
-    where it matters, are added up over batches. Results do not depend on it: any order of tokens finds all links.
+    Counted over all texts: those that come up in three sets of a run of texts, which a token of that many sets does
+    where it matters, are added up over all runs. Results do not depend on it: any order of tokens finds all links.
     """
     import numpy as np
 
+    def counted(tokens: list) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *tokens]), return_counts=True)
+        token, n = token[n > 2], n[n > 2]
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingle_sets(k)
         for batch in batches:
-            texts = {x.as_py() for x in batch.column(0)}
-            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(shingles, texts)]), return_counts=True)
-            token, n = token[n > 2], n[n > 2]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+            seen, held, size = set(), [], 0
+            for text in batch.column(0):
+                tokens = shingles(text.as_py())
+                mark = (len(tokens), int(tokens.sum())) if len(tokens) else None
+                if mark in seen or mark is None:
+                    continue
+                seen.add(mark)
+                held.append(tokens)
+                size += len(tokens)
+                if size > RUN:
+                    yield counted(held)
+                    held, size = [], 0
+            yield counted(held)
 
     counts = written(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT), "frequent")
     least, held = FREQUENT, 0

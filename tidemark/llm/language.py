@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carrying, table, whole_row, written
+from .common import beside, carrying, table, written
 
 #: The model is fitted on about so many labelled documents of each language, drawn by a hash of the id.
 SAMPLE = 400
@@ -135,18 +135,21 @@ class Scorer:
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Per document: id, lang_pred, score in 0..1. A text that is null or has no letter, or a model without languages, gives und and 0.
 
-    carry: the row's own columns come along as a struct, so that rows need not be found again by their ids.
+    carry: the row comes along, its text and the other columns as a struct, so that it need not be found again by its id.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([whole_row(docs)] if carry else []))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([beside(docs, text_col)] if carry else []))
+
+    schema = carrying(OUT, rows)
+    names = schema.names
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             said = [scorer.of(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64()), *batch.columns[2:]], ["id", "lang_pred", "score", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64()), *(batch.columns[1:] if carry else [])], names)
 
-    return rows.mapInArrow(score, carrying(OUT, rows))
+    return rows.mapInArrow(score, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

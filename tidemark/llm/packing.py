@@ -66,7 +66,7 @@ class WordIds:
     an apostrophe comes between them. Each is given to the tokenizer once and then looked up.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)

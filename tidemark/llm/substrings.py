@@ -33,7 +33,7 @@ def window_rows(window: int) -> Callable:
             docs, ids = (batch.column(c).to_numpy() for c in ("doc", "row"))
             text, ask, rows, held = batch.column("text"), batch.column("ask"), [], 0
             for k in np.lexsort((ids, docs)).tolist():
-                units, some = units_from(text[k].as_py()), ask[k].as_py()
+                units, some = units_from(text[k].as_py() or ""), ask[k].as_py()
                 first = np.array([x["first"] for x in some], np.int64)
                 n = np.array([x["n"] for x in some], np.int64)
                 each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -67,7 +67,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     A word goes if a window that covers it is also in a document with a smaller id, judged on the input. A null text
     has no words; a null id counts as smaller than all; rows that share an id are documents that leave each other
-    alone; a text with fewer words than a window stays as it is. carry: the row's own columns come along as a struct.
+    alone; a text with fewer words than a window stays as it is. carry: the row comes along, its text and the other columns as a struct.
     """
     docs = win.plain(docs, id_col, text_col, carry)
     return win.cut(docs, repeated(docs, window, gram), lambda text: text.encode().split(), lambda kept: b" ".join([w for part in kept for w in part]).decode(), OUT)

@@ -132,7 +132,7 @@ def segment_texts(window: int, gram: int) -> Callable:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, row, text, ask in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text", "ask")), strict=True):
-                data = text.encode()
+                data = (text or "").encode()
                 for x in ask:
                     first, n, q = x["first"], x["n"], x["first"] + x["lead"]
                     if first + n - 1 + window > len(data):
@@ -208,8 +208,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     A byte goes if a window that covers it also starts earlier: in a document with a smaller id, or before it in the
     same one; judged on the input. A null text is empty; a null id counts as smaller than all; rows that share an id
-    are documents that leave each other alone, but for those with the same text, which are one. carry: the row's own
-    columns come along as a struct.
+    are documents that leave each other alone, but for those with the same text, which are one. carry: the row comes
+    along, its text and the other columns as a struct.
     """
     docs = win.plain(docs, id_col, text_col, carry)
     return win.cut(docs, repeated(docs, window, gram), str.encode, b"".join, OUT)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carrying, parts, whole_row, written
+from .common import beside, carrying, parts, written
 
 #: Units hashed at once; a longer document is taken in overlapping stretches.
 STRETCH = 1 << 19
@@ -214,7 +214,7 @@ def segment_rows(units_of: Callable, window: int, gram: int, within: bool) -> Ca
         for batch in batches:
             docs, ids = (batch.column(c).to_numpy() for c in ("doc", "row"))
             order, text, rows = np.lexsort((ids, docs)), batch.column("text"), []
-            for units, owner, own, starts in stretches(((k, units_from(text[k].as_py())) for k in order.tolist()), window):
+            for units, owner, own, starts in stretches(((k, units_from(text[k].as_py() or "")) for k in order.tolist()), window):
                 h1, h2, first, count, lead = segments(units, owner, window, gram)
                 at = owner[first] if len(first) else first
                 rows.append((h1, h2, docs[own[at]], ids[own[at]], first - np.searchsorted(owner, at) + starts[at], count, lead))
@@ -312,14 +312,15 @@ def runs(gone: list | None, n: int) -> list[tuple[int, int]]:
 
 
 def plain(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """(doc, row, text) with an empty text for null and a least id for null; with carry, also all columns as a struct.
+    """(doc, row, text) with a least id for null; with carry, also the other columns as a struct.
 
     row is 0 where ids are unique, as they should be. Where any id repeats, it is the text's digest, so that rows that
     share an id are documents of their own, but for equal ones, which share their result.
     """
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([whole_row(docs)] if carry else []))
+    text = F.col(f"`{text_col}`").cast("string")
+    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), *([beside(docs, text_col)] if carry else []))
     unique = own.groupBy("doc").count().where("count > 1").isEmpty()
-    return own.withColumn("row", F.lit(0).cast("long") if unique else F.xxhash64("text"))
+    return own.withColumn("row", F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def own_id(doc) -> int | None:
@@ -327,10 +328,10 @@ def own_id(doc) -> int | None:
 
 
 def cut(docs: DataFrame, intervals: DataFrame, split: Callable, join: Callable, out: str) -> DataFrame:
-    """plain() rows to (id, units, removed units, removed intervals, kept text[, carried]); out names and types them."""
+    """plain() rows to (id, units, removed units, removed intervals, kept text), named and typed by out, and the row if it was carried."""
     found = removals(docs, intervals)
-    carry = "carried" in docs.columns
-    names = [x.split()[0] for x in out.split(", ")]
+    carry = ["carried"] if "carried" in docs.columns else []
+    schema = carrying(out, docs)
     kept_kind = pa.binary() if out.endswith("binary") else pa.string()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +339,7 @@ def cut(docs: DataFrame, intervals: DataFrame, split: Callable, join: Callable,
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [])
             for doc, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                units = split(text.as_py())
+                units = split(text.as_py() or "")
                 taken = runs(gone, len(units))
                 kept, at = [], 0
                 for a, z in taken:
@@ -348,7 +349,7 @@ def cut(docs: DataFrame, intervals: DataFrame, split: Callable, join: Callable,
                 n = sum(z - a for a, z in taken)
                 for column, x in zip(columns, (own_id(doc), len(units), n, [{"first": a, "last": z} for a, z in taken], join(kept)), strict=True):
                     column.append(x)
-            rest = [batch.column(3)] if carry else []
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, kinds, strict=True)), *rest], [*names, *(["carried"] if carry else [])])
+            row = [batch.column(1), batch.column(3)] if carry else []
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, kinds, strict=True)), *row], schema.names)
 
-    return found.select("doc", "text", "gone", *(["carried"] if carry else [])).mapInArrow(run, carrying(out, docs))
+    return found.select("doc", "text", "gone", *carry).mapInArrow(run, schema)
