@@ -21,7 +21,7 @@ ALIKE = 80
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (null and empty texts too) and those whose language is unclear. Nothing else is held against a document."""
     said = language.predict(docs, language.fit(docs), carry=True)
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("carried.*")
+    return common.restored(said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of texts; a text that none is taken from stays as it is, one with nothing left goes."""
     cut = substrings.dedup(docs, carry=True).where("n_removed = 0 OR kept <> ''")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("carried.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    changed = {"text": text, "n_chars": n_chars}
-    return cut.select(*[(changed[c] if c in changed else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
+    less = F.col("n_removed") > 0
+    changed = {"text": F.when(less, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(less, F.length("kept")).otherwise(F.col("carried.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return common.restored(cut, docs.columns, **changed)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
