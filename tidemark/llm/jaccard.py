@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import parts, table, written
 from .components import components
+from .packing import forget_words
 
 WORDS = 4
 PERCENT = 85
@@ -236,6 +237,7 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         import numpy as np
         import xxhash
 
+        forget_words()
         shingles, late = shingle_sets(k), last.value
         for batch in batches:
             seen, out = set(), ([], [], [], [])
@@ -277,7 +279,7 @@ def candidates(percent: int) -> Callable:
                     x, y = int(same[a]), int(same[a + 1])
                     if x == y or not (home[a] or home[a + 1]) or 100 * min(n[a], n[a + 1]) < percent * max(n[a], n[a + 1]) or (x, y) in tested:
                         continue
-                    if len(tested) > 200_000:
+                    if len(tested) > 50_000:
                         tested.clear()
                     tested.update(((x, y), (y, x)))
                     points = points_of([counts[a].as_py(), counts[a + 1].as_py()])
@@ -357,15 +359,17 @@ def in_cells(found: DataFrame, percent: int) -> DataFrame:
     # tokens of two different sets at least; of just two rows, the sizes must be near as well
     shared = each.groupBy("token").agg(F.min("same").alias("x"), F.max("same").alias("y"), F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum(size).alias("bytes"))
     shared = shared.where((F.col("x") != F.col("y")) & ((F.col("c") > 2) | (100 * F.col("low") >= percent * F.col("high")))).select("token", (F.col("bytes") > CELL).alias("large"))
+    shared = written(shared, "shared-tokens")
     # sizes in bands that grow by 1 / 0.85: similar sets are in the same band or the next
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     bands = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("p")
     counts = full.groupBy("same").agg(F.first("counts").alias("counts"))
-    rows = each.join(shared, "token")
-    usual = rows.where("NOT large").join(counts, "same").select("token", bands, "same", "n", "counts").select("token", "p.band", F.lit(0).cast("long").alias("pair"), "same", "n", "p.home", "counts")
-    large = written(rows.where("large").select("token", "same", "n").distinct(), "large-cells")
-    if large.isEmpty():
+    usual = each.join(shared.where("NOT large").select("token"), "token").join(counts, "same").select("token", bands, "same", "n", "counts").select("token", "p.band", F.lit(0).cast("long").alias("pair"), "same", "n", "p.home", "counts")
+    # a large token has thousands of rows, so that such tokens are few
+    tokens = shared.where("large").select("token")
+    if tokens.isEmpty():
         return usual
+    large = written(each.join(tokens, "token").select("token", "same", "n").distinct(), "large-cells")
     large = large.select("token", bands, "same", "n").select("token", "p.band", "same", "n", "p.home")
     splits = large.groupBy("token", "band").agg(F.ceil(F.sum(size) / CELL).cast("long").alias("splits"))
     own, other = F.pmod(F.xxhash64("same"), F.col("splits")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("other")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import beside, carrying, table, written
+from .packing import forget_words
 
 #: The model is fitted on about so many labelled documents of each language, drawn by a hash of the id.
 SAMPLE = 400
@@ -144,6 +145,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     names = schema.names
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         scorer = Scorer(shared.value)
         for batch in batches:
             said = [scorer.of(x.as_py()) for x in batch.column(1)]

@@ -108,6 +108,11 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def forget_words() -> None:
+    """Gives the tables back, in a worker that goes on to another operator."""
+    word_ids.cache_clear()
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 

@@ -213,11 +213,15 @@ def segment_rows(units_of: Callable, window: int, gram: int, within: bool) -> Ca
         units_from = units_of()
         for batch in batches:
             docs, ids = (batch.column(c).to_numpy() for c in ("doc", "row"))
-            order, text, rows = np.lexsort((ids, docs)), batch.column("text"), []
+            order, text, rows, held = np.lexsort((ids, docs)), batch.column("text"), [], 0
             for units, owner, own, starts in stretches(((k, units_from(text[k].as_py() or "")) for k in order.tolist()), window):
                 h1, h2, first, count, lead = segments(units, owner, window, gram)
                 at = owner[first] if len(first) else first
                 rows.append((h1, h2, docs[own[at]], ids[own[at]], first - np.searchsorted(owner, at) + starts[at], count, lead))
+                held += len(h1)
+                if held > STRETCH:
+                    yield from dealt(rows, window, within)
+                    rows, held = [], 0
             if rows:
                 yield from dealt(rows, window, within)
 
