@@ -337,6 +337,27 @@ def test_wrappers(spark):
     assert got[6] == got[7] == "" and got[8] == "A\nB" and got[9] == "plain < text" and got[10] == "deep"
 
 
+def test_long_lists_align_in_order():
+    import time
+
+    def page(i):
+        items = "".join(f"<li><a>{i} item {k}</a></li>" for k in range(1500))
+        return f"<html><body><div><p>same words here</p><ul>{items}</ul></div></body></html>"
+
+    began = time.time()
+    found = wrappers.induce([page(i) for i in range(3)])
+    assert time.time() - began < 5 and "ul" in found["root"] or found["root"].endswith("div")
+    deep = ["<div>" * 200 + f"<p>page {i} says</p>" + "<span>fixed</span>" + "</div>" * 200 for i in range(3)]
+    assert wrappers.induce(deep)["same"]
+
+
+def test_two_pages_are_two_exemplars(spark):
+    """However two pages of a host hash, both are aligned."""
+    rows = [(i, f"http://h{i // 2}.example/{i}", f"<html><body><div>Fixed line of the site</div><div id=x><p>own text {i} {'w' * (i % 7)} and more of it</p></div></body></html>") for i in range(160)]
+    found = wrappers.wrappers(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 80 and all('"root": ""' not in r["wrapper"] for r in found)
+
+
 def test_vectors(spark):
     import numpy as np
 
