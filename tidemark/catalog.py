@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .functions import scalar
-from .operators import graphs, relational
+from .operators import graphs, relational, summaries
 from .plans import tpch
 from .sources import files
 from .streaming import events
 
-MODULES = (tpch, relational, scalar, files, events, graphs)
+MODULES = (tpch, relational, summaries, scalar, files, events, graphs)
 
 
 def queries() -> dict:

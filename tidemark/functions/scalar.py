@@ -22,6 +22,43 @@ SETS: dict[str, tuple[dict[str, str], dict[str, str], str, str]] = {
 del SETS["fn_misc"][0]["e"], SETS["fn_misc"][0]["i"]
 SETS["fn_misc"][1].update({"a": "format('{:,.2f}', p_retailprice)", "b": "printf('%05d', p_size)", "c": "p_type", "d": "CASE p_type WHEN 'PROMO' THEN 1 WHEN 'SMALL' THEN 2 ELSE 0 END", "f": "'int'", "g": "(CASE WHEN p_size >= 50 THEN 6 ELSE p_size // 10 + 1 END)::BIGINT", "h": "round_even(p_size / 2.0::DOUBLE, 0)"})
 
+#: name -> (Spark expression, DuckDB expression or None where it is the same), a function a line.
+MORE: dict[str, tuple[str, str, dict[str, tuple[str, str | None]]]] = {
+    "fn_more_casts": ("part", "p_partkey", {
+        "tiny": ("cast(p_size as tinyint)", None),
+        "single": ("cast(cast(p_size as float) as double)", "p_size::FLOAT::DOUBLE"),
+        "truth": ("cast(p_size - 7 as boolean)", None),
+        "truth_text": ("cast('true' as boolean)", None),
+        "small_text": ("cast('12' as tinyint)", None),
+        "same": ("positive(p_size)", "p_size"),
+        "base_3": ("round(log(3, p_size), 9)", None),
+        "tenths": ("round(p_size / 4.0D, 1)", "round(p_size / 4.0::DOUBLE, 1)"),
+        "tens": ("round(p_size, -1)", "(CASE WHEN p_size % 10 >= 5 THEN p_size - p_size % 10 + 10 ELSE p_size - p_size % 10 END)::INT"),
+    }),
+    "fn_more_dates": ("orders", "o_orderkey", {
+        "seconds": ("unix_timestamp(o_orderdate)", "epoch(o_orderdate::TIMESTAMP)::BIGINT"),
+        "parsed": ("to_unix_timestamp('2001-02-03', 'yyyy-MM-dd')", "epoch(TIMESTAMP '2001-02-03')::BIGINT"),
+        "shown": ("from_unixtime(unix_timestamp(o_orderdate), 'yyyy-MM-dd HH:mm:ss')", "strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S')"),
+        "second": ("second(o_orderdate)", "second(o_orderdate::TIMESTAMP)"),
+    }),
+    "fn_more_collections": ("part", "p_partkey", {
+        "sorted": ("array_join(sort_array(split(p_name, ' '), false), ',')", "array_to_string(list_reverse_sort(string_split(p_name, ' ')), ',')"),
+        "held": ("map_values(map('k', p_size))[0]", "p_size"),
+        "place": ("array_position(array('PROMO', 'SMALL', 'LARGE'), p_type)", "coalesce(list_position(['PROMO', 'SMALL', 'LARGE'], p_type), 0)"),
+        "sentences": ("size(sentences(concat(p_name, '. ', p_type, '!')))", "2"),
+        "words": ("size(sentences(p_name)[0])", "len(string_split(p_name, ' '))"),
+        "number": ("format_number(p_size * 1000.5D, 1)", "format('{:,.1f}', p_size * 1000.5::DOUBLE)"),
+    }),
+    "fn_more_xpath": ("part", "p_partkey", {
+        "double": ("xpath_double(concat('<a><b>', p_size, '.5</b></a>'), 'a/b')", "p_size + 0.5::DOUBLE"),
+        "float": ("cast(xpath_float(concat('<a><b>', p_size, '.5</b></a>'), 'a/b') as double)", "p_size + 0.5::DOUBLE"),
+        "long": ("xpath_long(concat('<a><b>', p_size, '</b></a>'), 'a/b')", "p_size::BIGINT"),
+        "short": ("xpath_short(concat('<a><b>', p_size, '</b></a>'), 'a/b')", "p_size::SMALLINT"),
+    }),
+}
+for _name, (_table, _key, _functions) in MORE.items():
+    SETS[_name] = ({k: x for k, (x, _) in _functions.items()}, {k: y for k, (_, y) in _functions.items() if y}, _table, _key)
+
 
 def _select(columns: dict[str, str], table: str, key: str) -> str:
     return f"SELECT {key}, {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM {table}"

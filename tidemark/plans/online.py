@@ -154,15 +154,25 @@ class OnlineQuery:
             groups = groups.where("__trial = 0").drop("__trial")
         return self.spark.sql(self.query.result, groups=groups)
 
-    def next(self) -> DataFrame:
-        """The answer after one more batch. Earlier batches are not read again: only their partial sums are."""
+    def advance(self, batches: int, last: bool = False) -> DataFrame:
+        """The answer after so many more batches, read in one pass; those before are not read again, only their partial sums are.
+
+        last: no batch will follow, so that the state need not be written.
+        """
         if not self.has_next:
             raise StopIteration
-        new = self.partials(self.source.where(F.col("__batch") == self.done))
-        self.state = written(new if self.state is None else self.merge(self.state, new), f"state-{self.done}")
-        self.done += 1
+        upto = min(self.done + batches, self.conf.batches)
+        whole = self.done == 0 and upto == self.conf.batches
+        new = self.partials(self.source if whole else self.source.where((F.col("__batch") >= self.done) & (F.col("__batch") < upto)))
+        state = new if self.state is None else self.merge(self.state, new)
+        self.state = state if last else written(state, f"state-{self.done}")
+        self.done = upto
         return self.shown(self.groups(self.state, self.done))
 
+    def next(self) -> DataFrame:
+        """The answer after one more batch."""
+        return self.advance(1)
+
     def collect_next(self) -> list:
         return self.next().collect()
 
@@ -170,12 +180,10 @@ class OnlineQuery:
         while self.has_next:
             yield self.next()
 
-    def run(self, upto: int | None = None) -> DataFrame:
-        """The answer after upto batches, or all."""
-        out = None
-        while self.has_next and (upto is None or self.done < upto):
-            out = self.next()
-        return out
+    def run(self, upto: int | None = None) -> DataFrame | None:
+        """The answer after upto batches, or all. Nobody asks for answers in between, so that what is left is read in one pass."""
+        left = min(upto or self.conf.batches, self.conf.batches) - self.done
+        return self.advance(left, last=True) if left > 0 else None
 
     def baseline(self, upto: int) -> DataFrame:
         """The answer after upto batches, computed from their rows at once: what run(upto) must equal."""
