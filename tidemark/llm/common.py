@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -56,3 +58,10 @@ def restored(df: DataFrame, columns: list[str], text_col: str = "text", **change
     """The rows that an operator took along, with their columns as they were, or as changed says."""
     own = {text_col: F.col("text")} | changed
     return df.select(*[own.get(c, F.col(f"carried.`{c}`")).alias(c) for c in columns])
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that what is made of a batch's texts at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

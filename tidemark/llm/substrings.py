@@ -45,7 +45,7 @@ def window_rows(window: int) -> Callable:
                         same, zero = np.ones(len(here), np.int64), np.zeros(len(here), np.int64)
                         rows.append((win.hashes(total, here, here + window), zero.astype(np.uint64), same * docs[k], same * ids[k], here + start, same, zero))
                         held += len(here)
-                if held > win.STRETCH:
+                if held > win.STRETCH // 2:
                     yield from win.dealt(rows, window, False)
                     rows, held = [], 0
             if rows:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, carrying, parts, written
+from .common import beside, carrying, parts, slices, written
 
 #: Units hashed at once; a longer document is taken in overlapping stretches.
 STRETCH = 1 << 19
@@ -219,7 +219,7 @@ def segment_rows(units_of: Callable, window: int, gram: int, within: bool) -> Ca
                 at = owner[first] if len(first) else first
                 rows.append((h1, h2, docs[own[at]], ids[own[at]], first - np.searchsorted(owner, at) + starts[at], count, lead))
                 held += len(h1)
-                if held > STRETCH:
+                if held > STRETCH // 2:
                     yield from dealt(rows, window, within)
                     rows, held = [], 0
             if rows:
@@ -340,7 +340,7 @@ def cut(docs: DataFrame, intervals: DataFrame, split: Callable, join: Callable,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), kept_kind)
-        for batch in batches:
+        for batch in slices(batches):
             columns: tuple[list, ...] = ([], [], [], [], [])
             for doc, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 units = split(text.as_py() or "")
