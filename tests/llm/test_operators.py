@@ -382,6 +382,26 @@ def test_wrapper_decides_without_names(spark):
     assert len(again) == 28 and all(r["text"] == want[r["id"]] for r in again if r["id"] is not None)
 
 
+def test_vectors_across_shards(spark, monkeypatch):
+    """Chains of near vectors over many clusters, few of which a search visits: links by walking, against brute force."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "PROBES", 2)
+    monkeypatch.setattr(vectors, "RECALL", 0.0)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(120, 8))
+    x = np.repeat(base, 25, axis=0) + rng.normal(size=(3000, 8)) * 0.22
+    x[5] = x[9]
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = y @ y.T >= 0.95
+    rows = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), "n", "c") for i, v in enumerate(x)], "vec_id long, embedding array<double>, node string, near string")).collect()
+    got = {r["id"]: r["n_links"] for r in rows}
+    true = hit.sum(axis=1) - 1
+    assert all(got[i] <= true[i] for i in range(3000)) and sum(got.values()) >= 0.99 * true.sum()
+    assert rows[0]["recall"] >= 0.99
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_vectors(spark):
     import numpy as np
 
@@ -395,6 +415,10 @@ def test_vectors(spark):
     for i in range(len(x)):
         assert got[i]["n_links"] == hit[i].sum() - 1
         assert got[i]["kept"] == (got[i]["component_id"] == i)
+    least = list(range(len(x)))
+    while (best := [min(least[j] for j in np.flatnonzero(hit[i])) for i in range(len(x))]) != least:
+        least = best
+    assert [got[i]["component_id"] for i in range(len(x))] == least
     for i in (100, 101, 102, 103, 104):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 

@@ -22,6 +22,9 @@ OVERLAP, PROBES = 2, 6
 SHARD, SEARCHES = 512, 1024
 DEGREE, ALPHA, BEAM, SLACK = 16, 1.2, 8, 0.08
 AUDIT, RECALL = 256, 0.99
+#: Pairs of vectors whose similarities are computed at once.
+PAIRS = 1 << 15
+NEAR = "array<struct<node: bigint, of: array<int>>>"
 NODE = "node long, dim int, vector binary, times long"
 
 
@@ -96,11 +99,12 @@ def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(cosine: float):
-    """For mapInArrow over a shard's vectors (seeks false) and those that search it: found counts and connecting links.
+    """For mapInArrow over a shard's vectors (seeks false) and those that search it: found counts, connecting links, ways on.
 
     A search starts at the medoid and at each of a few far vectors, goes on from the best it has seen while that may
-    get better, and from all it has seen within SLACK of the range. What it has reached is then held against the range.
-    A vector that is in two shards of a search counts in its first cluster's.
+    get better, and from all it has seen within SLACK of the range. Similarities are those of vectors it has reached.
+    A vector that is in two shards of a search counts in its first cluster's. Neighbours of what is within SLACK that
+    are in no cluster that the search visits are ways on, for walk().
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,29 +121,32 @@ def search(cosine: float):
             x = np.frombuffer(b"".join(raw[i] for i in m), np.float64).reshape(len(m), -1)
             y = np.frombuffer(b"".join(raw[i] for i in q), np.float64).reshape(len(q), -1)
             place = {k: i for i, k in enumerate(ids[m].tolist())}
-            adjacent = np.zeros((len(m), len(m)), np.float32)
-            for i, k in enumerate(m):
-                for o in near[k] or ():
-                    if o in place:
-                        adjacent[i, place[o]] = 1
-            sims = y @ x.T
+            inside = [[place[o["node"]] for o in near[k] or () if o["node"] in place] for k in m]
+            # neighbours as rows of places, the own place where there are fewer
+            adjacent = np.repeat(np.arange(len(m))[:, None], max(1, max(map(len, inside))), axis=1)
+            for i, o in enumerate(inside):
+                adjacent[i, : len(o)] = o
             medoid = int((x @ x.sum(axis=0)).argmax())
             starts, nearest = [medoid], x @ x[medoid]
             for _ in range(min(7, len(m) - 1)):
                 starts.append(int(nearest.argmin()))
                 nearest = np.maximum(nearest, x @ x[starts[-1]])
-            seen = np.zeros(sims.shape, bool)
-            seen[:, starts] = True
+            sims = np.full((len(q), len(m)), -2.0)
+            sims[:, starts] = y @ x[starts].T
             done = np.zeros(sims.shape, bool)
             while True:
-                known = np.where(seen, sims, -2)
-                beam = np.partition(known, -min(BEAM, len(m)), axis=1)[:, -min(BEAM, len(m))]
-                go = seen & ~done & ((known >= beam[:, None]) | (known >= cosine - SLACK))
+                beam = np.partition(sims, -min(BEAM, len(m)), axis=1)[:, -min(BEAM, len(m))]
+                go = (sims > -2) & ~done & ((sims >= beam[:, None]) | (sims >= cosine - SLACK))
                 if not go.any():
                     break
                 done |= go
-                seen |= go.astype(np.float32) @ adjacent > 0
-            hit = seen & (sims >= cosine) & (ids[q][:, None] != ids[m][None])
+                r, c = np.nonzero(go)
+                reach = np.zeros(sims.shape, bool)
+                reach[r[:, None], adjacent[c]] = True
+                r, c = np.nonzero(reach & (sims == -2))
+                for k in range(0, len(r), PAIRS):
+                    sims[r[k : k + PAIRS], c[k : k + PAIRS]] = np.einsum("ij,ij->i", y[r[k : k + PAIRS]], x[c[k : k + PAIRS]])
+            hit = (sims >= cosine) & (ids[q][:, None] != ids[m][None])
             first = np.array([clusters[i][0] for i in m])
             # (search, vector) pairs that this cluster counts: the vector's first cluster, or one whose first is not visited
             visited = [set(clusters[i]) for i in q]
@@ -165,10 +172,64 @@ def search(cosine: float):
                         b.append(int(ids[m[j]]))
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array([*ids[q[some]].tolist(), *a], pa.int64()), pa.array([None] * len(some) + b, pa.int64()), pa.array([*count[some].tolist(), *[None] * len(a)], pa.int64())], ["a", "b", "found"])
+            # neighbours that are in other shards
+            outside = [[(o["node"], o["of"]) for o in near[k] or () if o["node"] not in place] for k in m]
+            ways = []
+            if any(outside):
+                for r in np.flatnonzero((sims >= cosine - SLACK).any(axis=1)):
+                    ways += {(int(ids[q[r]]), o) for j in np.flatnonzero(sims[r] >= cosine - SLACK) for o, of in outside[j] if visited[r].isdisjoint(of)}
+                    if len(ways) > PAIRS:
+                        yield onward(ways)
+                        ways = []
+            if ways:
+                yield onward(ways)
 
     return run
 
 
+def onward(ways: list) -> pa.RecordBatch:
+    """(search, node) pairs as rows with found -1."""
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ways], pa.int64()), pa.array([b for _, b in ways], pa.int64()), pa.array([-1] * len(ways), pa.int64())], ["a", "b", "found"])
+
+
+def walk(spark: SparkSession, found: DataFrame, placed: DataFrame, near: DataFrame, cosine: float) -> DataFrame:
+    """Goes on in the united graph, across shards, from the ways on in found, round by round until no search reaches a new vector.
+
+    A round joins the pairs reached with the vectors and adjacency lists of both ends; of what is within SLACK of the
+    range, neighbours in clusters that the search has not visited are the next round's. Returns all rows but ways.
+    """
+
+    def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(batch.num_rows, -1) for c in ("vector", "other"))
+            sims = np.einsum("ij,ij->i", x, y)
+            a, b, times = (batch.column(c).to_numpy() for c in ("a", "b", "times"))
+            hit = np.flatnonzero(sims >= cosine)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[hit], a[hit]])), pa.array([None] * len(hit) + b[hit].tolist(), pa.int64()), pa.array([*times[hit].tolist(), *[None] * len(hit)], pa.int64())], ["a", "b", "found"])
+            next_to, visited = batch.column("near"), batch.column("visited")
+            ways = set()
+            for i in np.flatnonzero(sims >= cosine - SLACK):
+                seen = set(visited[i].as_py())
+                ways |= {(int(a[i]), o["node"]) for o in next_to[i].as_py() or () if o["node"] != a[i] and seen.isdisjoint(o["of"])}
+            if ways:
+                yield onward(sorted(ways))
+
+    out, seen = found.where("found IS NULL OR found >= 0"), None
+    fresh = written(found.where("found = -1").select("a", "b").distinct(), "ways")
+    while not fresh.isEmpty():
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        ends = fresh.join(placed.select(F.col("node").alias("b"), "vector", "times"), "b").join(near.withColumnRenamed("node", "b"), "b")
+        both = ends.join(placed.select(F.col("node").alias("a"), F.col("vector").alias("other"), F.col("clusters").alias("visited")), "a")
+        more = written(both.select("a", "b", "vector", "times", "near", "other", "visited").mapInArrow(step, "a long, b long, found long"), "walked")
+        out = out.unionByName(more.where("found IS NULL OR found >= 0"))
+        fresh = written(more.where("found = -1").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "ways")
+    return out
+
+
 def linked(found: DataFrame, n: int, dim: int, cosine: float, probes: int) -> DataFrame:
     """Distinct vectors of one dimension to rows (a, b null, found) with counts and (a, b, found null) with connecting links."""
     spark = found.sparkSession
@@ -193,22 +254,28 @@ def linked(found: DataFrame, n: int, dim: int, cosine: float, probes: int) -> Da
     some = lambda by, n: F.pmod(F.xxhash64("node", F.lit(by)), F.col(n)).cast("int")
     member = member.join(F.broadcast(dealt), "cluster").withColumn("shard", some(1, "shards"))  # a row for each cluster
     near = member.select("cluster", "shard", "node", "vector").repartition(parts(spark), "cluster", "shard").sortWithinPartitions("cluster", "shard", "node").mapInArrow(build, "node long, near array<long>")
-    union = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    # lists of a vector's shards united, OVERLAP of them at most; a neighbour's clusters tell whether a search visits it
+    pairs = near.select("node", F.explode("near").alias("o")).distinct().join(placed.select(F.col("node").alias("o"), F.slice("clusters", 1, OVERLAP).alias("of")), "o")
+    union = written(pairs.groupBy("node").agg(F.collect_list(F.struct(F.col("o").alias("node"), "of")).alias("near")), "adjacency")
     columns = ["cluster", "shard", "part", "seeks", "node", "vector", "times", "clusters", "near"]
-    held = member.join(union, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).withColumn("seeks", F.lit(False)).select(columns)
+    held = member.join(union, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).withColumn("seeks", F.lit(False)).select(columns)
     seek = placed.select("node", "vector", "times", "clusters", F.explode("clusters").alias("cluster")).join(F.broadcast(dealt), "cluster").withColumn("part", some(2, "sets"))
-    seek = seek.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("seeks", F.lit(True)).withColumn("near", F.lit(None).cast("array<long>")).select(columns)
+    seek = seek.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("seeks", F.lit(True)).withColumn("near", F.lit(None).cast(NEAR)).select(columns)
     both = held.unionByName(seek).repartition(parts(spark), "cluster", "shard", "part").sortWithinPartitions("cluster", "shard", "part")
-    return written(both.mapInArrow(search(cosine), "a long, b long, found long"), "found")
+    return walk(spark, written(both.mapInArrow(search(cosine), "a long, b long, found long"), "found"), placed, union, cosine)
+
 
+def audit(found: DataFrame, counts: DataFrame, dim: int, cosine: float, most: int = AUDIT) -> float | None:
+    """Recall of a bounded sample of searches, against brute force over all vectors in blocks; None if they have no link.
 
-def audit(found: DataFrame, counts: DataFrame, dim: int, cosine: float, most: int = AUDIT) -> float:
-    """Recall of a bounded sample of searches, against brute force over all vectors in blocks; 1 if they have no link."""
+    The lesser of the share of links found and the mean share of a vector's, so that small groups count as much as large.
+    """
     import numpy as np
 
     sample = found.where(F.col("dim") == dim).orderBy(F.xxhash64("node")).limit(most).join(counts, "node", "left").select("node", "vector", F.coalesce("found", F.lit(0)).alias("found")).collect()
-    x = np.array([np.frombuffer(r["vector"]) for r in sample])
-    shared = found.sparkSession.sparkContext.broadcast((x, np.array([r["node"] for r in sample])))
+    if not sample:
+        return None
+    shared = found.sparkSession.sparkContext.broadcast((np.array([np.frombuffer(r["vector"]) for r in sample]), np.array([r["node"] for r in sample])))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, ids = shared.value
@@ -217,18 +284,21 @@ def audit(found: DataFrame, counts: DataFrame, dim: int, cosine: float, most: in
             v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
             hit = (y @ v.T >= cosine) & (ids[:, None] != batch.column(0).to_numpy()[None])
             n += (hit * batch.column(2).to_numpy()[None]).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(n)], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["node", "n"])
 
-    true = found.where(F.col("dim") == dim).select("node", "vector", "times").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] if len(sample) else 0
-    return sum(r["found"] for r in sample) / true if true else 1.0
+    rows = found.where(F.col("dim") == dim).select("node", "vector", "times").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()
+    true = {r["node"]: r["n"] for r in rows if r["n"]}
+    got = {r["node"]: min(r["found"], true[r["node"]]) for r in sample if r["node"] in true}
+    return min(sum(got.values()) / sum(true.values()), sum(got[k] / n for k, n in true.items()) / len(true)) if true else None
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """Per vector: id, n_links, component_id, kept.
+    """Per vector: id, n_links, component_id, kept, recall (the audited one, null where no audited vector has links).
 
     Copies of a vector are one node with a count. A null or zero vector, or one with a null, NaN or infinite component,
     or a null id, is linked with nothing; vectors of different dimensions are not compared. If the audited recall is
-    under RECALL, searches visit twice as many clusters, until they visit all.
+    under RECALL, searches visit twice as many clusters, until they visit all. Rows that share an id and a vector are copies; where rows
+    share an id only, each gets the most links and least component of them. Extra columns are not read; an empty table gives no rows.
     """
     spark = rows.sparkSession
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -242,21 +312,24 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in x], pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2)], ["node", "dim", "vector", "times"])
 
     found = written(keyed.join(which.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("node"))).dropDuplicates(["node"]).select("node", "v", "times").mapInArrow(units, NODE), "vectors")
+    recalls: list[float] = []
     all_links = spark.createDataFrame([], "a long, b long, found long")
     for row in found.groupBy("dim").agg(F.count("*").alias("n")).collect():
         probes = PROBES
         while True:
             links = linked(found, row["n"], row["dim"], cosine, probes)
             counts = links.where("found IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("found").alias("found"))
-            if probes >= CLUSTERS or audit(found, counts, row["dim"], cosine) >= RECALL:
+            recall = audit(found, counts, row["dim"], cosine)
+            if probes >= CLUSTERS or recall is None or recall >= RECALL:
                 break
             probes *= 2
+        recalls += [] if recall is None else [recall]
         all_links = all_links.unionByName(links)
     label = components(all_links.where("b IS NOT NULL").select("a", "b"), "vector-links")
     counts = all_links.where("found IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("found").alias("found"))
     per_node = which.join(counts, "node", "left").join(label, "node", "left").select("key", F.coalesce("found", F.lit(0)).alias("found"), "times", F.coalesce("component", "node").alias("component_id"))
-    good = copies.join(per_node, "key").select(F.col("id").alias("k"), (F.col("found") + F.col("times") - 1).alias("n_links"), F.col("component_id").alias("c")).dropDuplicates(["k"])
-    return plain.select("id").join(good, F.col("id") == F.col("k"), "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"))
+    good = copies.join(per_node, "key").select(F.col("id").alias("k"), (F.col("found") + F.col("times") - 1).alias("n_links"), F.col("component_id").alias("c")).groupBy("k").agg(F.max("n_links").alias("n_links"), F.min("c").alias("c"))
+    return plain.select("id").join(good, F.col("id") == F.col("k"), "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"), F.lit(min(recalls, default=None)).cast("double").alias("recall"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
