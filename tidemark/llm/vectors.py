@@ -109,23 +109,30 @@ def search(cosine: float):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import pyarrow.compute as pc
 
         for group in grouped(batches, 3):
             seeks = group.column("seeks").to_numpy(zero_copy_only=False)
             if seeks.all() or not seeks.any():
                 continue
             raw, ids, times = group.column("vector").to_pylist(), group.column("node").to_numpy(), group.column("times").to_numpy()
-            clusters, near = group.column("clusters").to_pylist(), group.column("near").to_pylist()
+            clusters, near = group.column("clusters").to_pylist(), group.column("near")
             cluster = group.column("cluster")[0].as_py()
             m, q = np.flatnonzero(~seeks), np.flatnonzero(seeks)
             x = np.frombuffer(b"".join(raw[i] for i in m), np.float64).reshape(len(m), -1)
             y = np.frombuffer(b"".join(raw[i] for i in q), np.float64).reshape(len(q), -1)
-            place = {k: i for i, k in enumerate(ids[m].tolist())}
-            inside = [[place[o["node"]] for o in near[k] or () if o["node"] in place] for k in m]
+            # (place, neighbour) pairs, and the neighbour's place where it is in this shard
+            near = near.combine_chunks() if isinstance(near, pa.ChunkedArray) else near
+            listed = pc.list_flatten(near)
+            beside = listed.field("node").to_numpy()
+            own = np.searchsorted(m, pc.list_parent_indices(near).to_numpy())
+            order = np.argsort(ids[m], kind="stable")
+            at = order[np.minimum(np.searchsorted(ids[m], beside, sorter=order), len(m) - 1)]
+            inside = ids[m][at] == beside
             # neighbours as rows of places, the own place where there are fewer
-            adjacent = np.repeat(np.arange(len(m))[:, None], max(1, max(map(len, inside))), axis=1)
-            for i, o in enumerate(inside):
-                adjacent[i, : len(o)] = o
+            degree = np.bincount(own[inside], minlength=len(m))
+            adjacent = np.repeat(np.arange(len(m))[:, None], max(1, degree.max()), axis=1)
+            adjacent[own[inside], np.arange(inside.sum()) - np.repeat(np.cumsum(degree) - degree, degree)] = at[inside]
             medoid = int((x @ x.sum(axis=0)).argmax())
             starts, nearest = [medoid], x @ x[medoid]
             for _ in range(min(7, len(m) - 1)):
@@ -172,15 +179,20 @@ def search(cosine: float):
                         b.append(int(ids[m[j]]))
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array([*ids[q[some]].tolist(), *a], pa.int64()), pa.array([None] * len(some) + b, pa.int64()), pa.array([*count[some].tolist(), *[None] * len(a)], pa.int64())], ["a", "b", "found"])
-            # neighbours that are in other shards
-            outside = [[(o["node"], o["of"]) for o in near[k] or () if o["node"] not in place] for k in m]
+            # neighbours that are in other shards, and whether a search visits one of their clusters
+            if inside.all():
+                continue
+            leaf, other = own[~inside], beside[~inside]
+            of = listed.field("of").filter(pa.array(~inside)).to_pylist()
+            ends = np.array([[c[0], c[-1]] for c in of])
             ways = []
-            if any(outside):
-                for r in np.flatnonzero((sims >= cosine - SLACK).any(axis=1)):
-                    ways += {(int(ids[q[r]]), o) for j in np.flatnonzero(sims[r] >= cosine - SLACK) for o, of in outside[j] if visited[r].isdisjoint(of)}
-                    if len(ways) > PAIRS:
-                        yield onward(ways)
-                        ways = []
+            for r in np.flatnonzero((sims >= cosine - SLACK).any(axis=1)):
+                been = np.zeros(CLUSTERS, bool)
+                been[clusters[q[r]]] = True
+                ways += [(int(ids[q[r]]), int(o)) for o in np.unique(other[(sims[r, leaf] >= cosine - SLACK) & ~been[ends].any(axis=1)])]
+                if len(ways) > PAIRS:
+                    yield onward(ways)
+                    ways = []
             if ways:
                 yield onward(ways)
 
