@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table, written
+from .common import lean, parts, table, written
 from .components import components
 from .packing import forget_words
 
@@ -216,7 +216,7 @@ def frequent(docs: DataFrame, k: int):
                     held, size = [], 0
             yield counted(held)
 
-    counts = written(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT), "frequent")
+    counts = written(docs.select("text").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT), "frequent")
     least, held = FREQUENT, 0
     for row in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.col("power").desc()).collect():
         held += row["count"]
@@ -260,7 +260,7 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), *(pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True))], ["doc", "row", "n", "same", "counts", "prefix"])
 
-    return docs.mapInArrow(run, SET)
+    return docs.mapInArrow(lean(run), SET)
 
 
 def candidates(percent: int) -> Callable:
@@ -343,7 +343,7 @@ def links_in(percent: int, every: bool) -> Callable:
 
 def compared(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     rows = rows.select("block", "split", "part", "node", "ask", "tokens").repartition(parts(rows.sparkSession), "block", "split", "part").sortWithinPartitions("block", "split", "part")
-    return rows.mapInArrow(links_in(percent, every), LINK)
+    return rows.mapInArrow(lean(links_in(percent, every)), LINK)
 
 
 def in_cells(found: DataFrame, percent: int) -> DataFrame:
@@ -396,7 +396,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     linkable = found.where("n > 0 AND doc IS NOT NULL")
     cells = in_cells(linkable, percent)
     cells = cells.repartition(parts(spark), "token", "band", "pair").sortWithinPartitions("token", "band", "pair")
-    blocks = components(cells.mapInArrow(candidates(percent), LINK), "candidates")
+    blocks = components(cells.mapInArrow(lean(candidates(percent)), LINK), "candidates")
     # a set's node is its digest; the least document that has it lends its text
     nodes = linkable.groupBy("same").agg(F.min(F.struct("doc", "row")).alias("first"))
     in_block = blocks.select(F.col("node").alias("same"), F.col("component").alias("block"))
@@ -440,7 +440,7 @@ def with_tokens(rows: DataFrame, k: int) -> DataFrame:
             tokens = pa.array([shingles(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("size"), batch.column("node"), tokens], ["block", "size", "node", "tokens"])
 
-    return rows.select("text", "block", "size", "node").mapInArrow(run, "block long, size long, node long, tokens binary")
+    return rows.select("text", "block", "size", "node").mapInArrow(lean(run), "block long, size long, node long, tokens binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

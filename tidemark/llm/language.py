@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, carrying, slices, table, written
+from .common import beside, carrying, lean, slices, table, written
 from .packing import forget_words
 
 #: The model is fitted on about so many labelled documents of each language, drawn by a hash of the id.
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             said = [scorer.of(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64()), *(batch.columns[1:] if carry else [])], names)
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(lean(score), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

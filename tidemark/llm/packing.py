@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, slices, table, written
 
 CAPACITY = 2048
 END_ID = 1
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_ids(path), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = memoryview(words.of(text.as_py()) + end)
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECE)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(cut), PIECE)
 
 
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:

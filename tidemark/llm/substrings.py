@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows as win
-from .common import table
+from .common import lean, table
 
 WINDOW = 13
 GRAM = 5
@@ -57,8 +57,8 @@ def window_rows(window: int) -> Callable:
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs (doc, row, text) to intervals (win.INTERVAL) of words that go."""
     rows = win.settled(docs, word_units, window, gram, False, "word-windows")
-    each = win.asked(docs, rows).mapInArrow(window_rows(window), win.SEGMENT)
-    more = win.in_order(each).mapInArrow(win.settle(window, False), win.SETTLED)
+    each = win.asked(docs, rows).mapInArrow(lean(window_rows(window)), win.SEGMENT)
+    more = win.in_order(each).mapInArrow(lean(win.settle(window, False)), win.SETTLED)
     return rows.unionByName(more).where("last >= 0").select("doc", "row", "first", "last")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, carrying, parts, slices, written
+from .common import beside, carrying, lean, parts, slices, written
 
 #: Units hashed at once; a longer document is taken in overlapping stretches.
 STRETCH = 1 << 19
@@ -286,8 +286,8 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 def settled(docs: DataFrame, units_of: Callable, window: int, gram: int, within: bool, name: str) -> DataFrame:
     """docs (doc, row, text) to SETTLED rows, written. within: an earlier start in the same document counts as well."""
-    rows = docs.select("doc", "row", "text").mapInArrow(segment_rows(units_of, window, gram, within), SEGMENT)
-    return written(in_order(rows).mapInArrow(settle(window, within), SETTLED), name)
+    rows = docs.select("doc", "row", "text").mapInArrow(lean(segment_rows(units_of, window, gram, within)), SEGMENT)
+    return written(in_order(rows).mapInArrow(lean(settle(window, within)), SETTLED), name)
 
 
 def asked(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -356,4 +356,4 @@ def cut(docs: DataFrame, intervals: DataFrame, split: Callable, join: Callable,
             row = [batch.column(1), batch.column(3)] if carry else []
             yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, kinds, strict=True)), *row], schema.names)
 
-    return found.select("doc", "text", "gone", *carry).mapInArrow(run, schema)
+    return found.select("doc", "text", "gone", *carry).mapInArrow(lean(run), schema)
